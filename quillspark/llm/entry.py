@@ -5,11 +5,13 @@ from __future__ import annotations
 from .mixing import ORACLE_SQL as _MIX
 from .mixing import op4_mixing
 from .packing import op1_packing
+from .setjoin import op7_jaccard
 from .sharding import op10_sharding
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_mixing": op4_mixing,
+    "op7_jaccard": op7_jaccard,
     "op10_sharding": op10_sharding,
 }
 
