@@ -5,12 +5,14 @@ from __future__ import annotations
 from .mixing import ORACLE_SQL as _MIX
 from .mixing import op4_mixing
 from .packing import op1_packing
+from .quality import op5_quality
 from .setjoin import op7_jaccard
 from .sharding import op10_sharding
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
     "op7_jaccard": op7_jaccard,
     "op10_sharding": op10_sharding,
 }
