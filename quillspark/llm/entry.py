@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .extraction import op9_extraction
 from .mixing import ORACLE_SQL as _MIX
 from .mixing import op4_mixing
 from .packing import op1_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op7_jaccard": op7_jaccard,
+    "op9_extraction": op9_extraction,
     "op10_sharding": op10_sharding,
 }
 
