@@ -9,14 +9,17 @@ from .packing import op1_packing
 from .quality import op5_quality
 from .setjoin import op7_jaccard
 from .sharding import op10_sharding
+from .urlfilter import ORACLE_SQL as _URLS
+from .urlfilter import op8_urls
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op7_jaccard": op7_jaccard,
+    "op8_urls": op8_urls,
     "op9_extraction": op9_extraction,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE = {"op4_mixing": _MIX}
+ORACLE = {"op4_mixing": _MIX, "op8_urls": _URLS}
