@@ -10,21 +10,21 @@ import numpy as np
 
 #: id that ends every document
 END_OF_DOCUMENT = 2
-#: entries a worker keeps per cache; a full cache is emptied and fills again
-CACHE_ENTRIES = 400_000
+#: entries a worker keeps; a full cache is emptied and fills again
+CACHE_ENTRIES = 800_000
 _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
-_MARKS = r"!-&(-/:-@\[-`{-~"
-# a chunk of marks, lower-case Latin letters, marks: each run is one pre-token
-_SIMPLE = re.compile(f"([{_MARKS}]*)([{_LETTERS}]*)([{_MARKS}]*)")
+# texts of printable ASCII and Latin letters: their pre-tokens can be told apart here
+_PLAIN = re.compile("[\x20-\x7e\n\t\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+# the vocabulary's own pre-token pattern over those characters in lower case
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+")
 
 
 class WordEncoder:
     """Ids of whole texts, equal to the library's, through a cache of words.
 
-    The vocabulary's rules never look across white space: the normaliser is
-    local and white space is dropped between pre-tokens. So a text may be cut at
-    ASCII blanks and each chunk encoded alone. Unseen chunks of one batch are
-    encoded together in a single call.
+    The vocabulary's rules never look across white space, and each pre-token is
+    encoded alone. So plain texts are cut into pre-tokens, others at ASCII
+    blanks, and only pieces not met before go to the library, together.
     """
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
@@ -37,55 +37,48 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.limit = cache_entries
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def _bulk(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
+        """Encode parts that are one pre-token each."""
         lines = [" ".join(parts[k : k + 200]) for k in range(0, len(parts), 200)]
         found = self.tok.encode_batch_fast(lines, add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in found])
         cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4  # each pre-token has one id that ends a word
         if len(cuts) != len(parts):
             raise ValueError("a part is not one pre-token")
-        raw, a = ids.tobytes(), 0
+        raw, a, known = ids.tobytes(), 0, self.known
         for p, b in zip(parts, cuts.tolist()):
-            self.parts[p] = raw[a:b]
+            known[p] = raw[a:b]
             a = b
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > self.limit:
-            self.chunks = {"": b""}
-        if len(self.parts) > self.limit:
-            self.parts = {"": b""}
-        made, odd, need = [], [], set()
-        for c in chunks:
-            m = _SIMPLE.fullmatch(c.lower()) if len(c) < 200 else None
-            if m is None:
-                odd.append(c)
+    def _pieces(self, texts: list[str]) -> list[list[str]]:
+        split, parts, chunks = [], set(), set()
+        for t in texts:
+            if _PLAIN.fullmatch(t):
+                split.append(p := _PARTS.findall(t.lower()))
+                parts.update(p)
             else:
-                g = m.groups()
-                made.append((c, g))
-                need.update(g)
-        if new := [p for p in need if p not in self.parts]:
-            self._bulk(new)
-        parts = self.parts
-        for c, (a, b, d) in made:
-            self.chunks[c] = parts[a] + parts[b] + parts[d]
-        for c, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False)) if odd else ():
-            self.chunks[c] = np.array(e.ids, dtype="<u4").tobytes()
+                split.append(p := t.replace("\n", " ").replace("\t", " ").split(" "))
+                chunks.update(p)
+        if len(self.known) + len(parts) + len(chunks) > self.limit:
+            self.known = {"": b""}
+        if new := [p for p in parts if p not in self.known]:
+            self._learn(new)
+        if new := [c for c in chunks if c not in self.known]:
+            for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+                self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
+        return split
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, end id included."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        want = set().union(*split)
-        if new := {c for c in want if c not in self.chunks}:
-            if len(self.chunks) + len(new) > self.limit:
-                new = want
-            gc.disable()  # a batch makes many small objects and no cycles
-            self._learn(new)
+        gc.disable()  # a batch makes many small objects and no cycles
+        try:
+            pieces = self._pieces(texts)
+            get, end = self.known.__getitem__, np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
+            return [b"".join(map(get, ws)) + end for ws in pieces]
+        finally:
             gc.enable()
-        get, end = self.chunks.__getitem__, np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
-        return [b"".join(map(get, ws)) + end for ws in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
