@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .extraction import op9_extraction
+from .licenses import op2_licenses
 from .mixing import ORACLE_SQL as _MIX
 from .mixing import op4_mixing
 from .packing import op1_packing
@@ -14,6 +15,7 @@ from .urlfilter import op8_urls
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_licenses": op2_licenses,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op7_jaccard": op7_jaccard,
