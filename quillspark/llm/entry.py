@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_neighbours
 from .extraction import op9_extraction
 from .licenses import op2_licenses
 from .mixing import ORACLE_SQL as _MIX
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
+    "op6_neighbours": op6_neighbours,
     "op7_jaccard": op7_jaccard,
     "op8_urls": op8_urls,
     "op9_extraction": op9_extraction,
