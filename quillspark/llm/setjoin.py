@@ -11,7 +11,8 @@ The method is exact (up to 64-bit hashes):
    least k shingles. Sets send their extended prefixes to buckets; a bucket joins
    rare shingles singly and counts how many a pair shares, so a pair needs its
    whole combination of k to become a candidate. A shingle of more than
-   ``rare`` sets makes a star and no pairs.
+   ``RARE`` sets makes no pairs: it goes back to the sets' lists of common
+   shingles, which are joined as combinations (see ``_candidates``).
 3. Components of candidates are the units of verification; a component of more
    than ``block`` sets is cut into blocks, and every two blocks are one unit. A
    unit indexes prefixes anew by its own frequencies: one shared rare shingle, or
@@ -51,7 +52,8 @@ FREQUENT = 1 << 18
 FILTER_BITS = 1 << 25
 BLOCK = 512
 COMBINE = 3
-_HELD = 2_000_000
+#: shingles a task holds before it hands them on
+_HELD = 1_000_000
 
 
 def _ceil80(n):
@@ -115,46 +117,51 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield heavy(held)
 
 
+_ENTRIES = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("token", "row", "sig", "n", "hot")])
+
+
 def _prefixes(frequent, buckets: int):
-    """Tasks' prefix entries by bucket, and stars of shingles that are hot in one task."""
-    schema = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("token", "sig", "n", "sets")])
+    """Tasks' prefix entries by bucket.
 
-    def flush(tokens, which, sigs, ns):
-        tok, who = np.concatenate(tokens), np.repeat(np.arange(len(which)), which)
-        sig, n = np.array(sigs, np.int64), np.array(ns, np.int64)
+    A row holds a bucket's shingles, the set each belongs to as a number into the
+    row's table of set hashes and sizes, and how many sets of the task hold a
+    shingle that is hot there. Of a hot shingle one entry goes to its bucket, so
+    that the bucket learns of it; all leave, for their sets, in rows of bucket -1.
+    """
+
+    def flush(tokens, lengths, sigs, ns):
+        tok, who = np.concatenate(tokens), np.repeat(np.arange(len(lengths)), lengths)
+        sig, n = np.array(sigs, np.int64), np.array(ns, np.int32)
         order = np.argsort(tok, kind="stable")
         tok, who = tok[order], who[order]
         first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
         count = np.diff(np.append(first, len(tok)))
         each = np.repeat(count, count)
         hot = each > RARE
-        if hot.any():  # the first set stands for the others in this task
-            lead = np.repeat(who[first], count)
-            star = np.unique(np.stack((lead[hot], who[hot]), 1), axis=0)
-            yield -1, star[:, 0], sig[star[:, 0]], sig[star[:, 1]], star[:, 0]
+        none = b""
+        if hot.any():
+            yield -1, tok[hot].tobytes(), none, sig[who[hot]].tobytes(), n[who[hot]].tobytes(), none
         keep = ~hot
         keep[first] = True
         tok, who, each = tok[keep], who[keep], each[keep]
-        each = np.where(each > RARE, each, 1)
         to = ((tok * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(to, kind="stable")
         tok, who, each, to = tok[order], who[order], each[order], to[order].astype(np.int64)
         cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
         for a, b in zip(cut, np.append(cut[1:], len(to))):
-            yield int(to[a]), tok[a:b], sig[who[a:b]], n[who[a:b]], each[a:b]
+            own, row = np.unique(who[a:b], return_inverse=True)
+            pos = np.flatnonzero(each[a:b] > RARE)
+            marks = np.stack((pos, each[a:b][pos])).astype(np.int64)
+            yield int(to[a]), tok[a:b].tobytes(), row.astype(np.uint16).tobytes(), sig[own].tobytes(), n[own].tobytes(), marks.tobytes()
 
     def batch(parts):
-        cols = list(zip(*parts))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int32()), pa.array([c.tobytes() for c in cols[1]], pa.binary())]
-            + [pa.array([c.astype(t).tobytes() for c in col], pa.binary()) for col, t in zip(cols[2:], (np.int64, np.int64, np.int64))],
-            schema=schema,
-        )
+        cols = zip(*parts)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ENTRIES)], schema=_ENTRIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.frombuffer(frequent.value, np.uint64)
         seen: set[int] = set()
-        tokens, which, sigs, ns, size = [], [], [], [], 0
+        tokens, lengths, sigs, ns, size = [], [], [], [], 0
         for _, s in _texts(batches):
             n = len(s)
             if not n or (sig := set_hash(s)) in seen:
@@ -166,17 +173,17 @@ def _prefixes(frequent, buckets: int):
                 late = common[at] == s
                 if late.any():
                     s = np.concatenate((s[~late], s[late]))
-            tokens.append(s[:length])
-            which.append(length)
+            tokens.append(s[:length].copy())
+            lengths.append(length)
             sigs.append(sig)
             ns.append(n)
             size += length
-            if size >= _HELD:
-                yield batch(list(flush(tokens, which, sigs, ns)))
-                tokens, which, sigs, ns, size = [], [], [], [], 0
+            if size >= _HELD or len(sigs) >= 1 << 16:
+                yield batch(list(flush(tokens, lengths, sigs, ns)))
+                tokens, lengths, sigs, ns, size = [], [], [], [], 0
                 seen.clear()
         if tokens:
-            yield batch(list(flush(tokens, which, sigs, ns)))
+            yield batch(list(flush(tokens, lengths, sigs, ns)))
 
     return run
 
@@ -185,11 +192,27 @@ _PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("shared", pa.int64())
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that share rare shingles of these buckets, and stars of the others."""
+    """Pairs that share rare shingles of these buckets; with need -1, the others as (set, shingle, size)."""
+
+    def emit(a, b, shared, need):
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, shared, need)], schema=_PAIRS)
+
+    def common(sig, tok, n):
+        return emit(sig, tok.view(np.int64), n, np.full(len(sig), -1))
+
     got: list[list[np.ndarray]] = [[], [], [], []]
     for b in batches:
-        for k, t in enumerate((np.uint64, np.int64, np.int64, np.int64)):
-            got[k] += [np.frombuffer(x, t) for x in b.column(k + 1).to_pylist()]
+        for row in b.to_pylist():
+            sig, n = np.frombuffer(row["sig"], np.int64), row["n"]
+            if row["bucket"] < 0:
+                yield common(sig, np.frombuffer(row["token"], np.uint64), np.frombuffer(n, np.int32))
+                continue
+            at = np.frombuffer(row["row"], np.uint16)
+            sets = np.ones(len(at), np.int64)
+            pos, times = np.frombuffer(row["hot"], np.int64).reshape(2, -1)
+            sets[pos] = times
+            for into, x in zip(got, (np.frombuffer(row["token"], np.uint64), sig[at], np.frombuffer(n, np.int32)[at], sets)):
+                into.append(x)
     if not got[0]:
         return
     tok, sig, n, sets = (np.concatenate(x) for x in got)
@@ -201,17 +224,9 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
     count = np.diff(np.append(first, len(tok)))
     total = np.add.reduceat(sets, first)
-
-    def emit(a, b, shared, need):
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, shared, need)], schema=_PAIRS)
-
-    many = (total > RARE) & (count > 1)
+    many = np.repeat(total > RARE, count) & (sets == 1)
     if many.any():
-        each = np.repeat(many, count)
-        lead = np.repeat(sig[first], count)
-        star = np.unique(np.stack((lead[each], sig[each]), 1), axis=0)
-        star = star[star[:, 0] != star[:, 1]]
-        yield emit(star[:, 0], star[:, 1], np.ones(len(star)), np.zeros(len(star)))
+        yield common(sig[many], tok[many], n[many])
     left, right = [], []
     for size in range(2, RARE + 1):
         at = first[(count == size) & (total <= RARE)]
@@ -288,7 +303,9 @@ def link_unit(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of the units in this partition, whose rows come sorted by unit."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    from zstandard import ZstdDecompressor
+
+    schema, unpack = pa.schema([("u", pa.int64()), ("v", pa.int64())]), ZstdDecompressor()
     unit, sigs, sets = None, [], []
 
     def flush():
@@ -305,7 +322,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield flush()
                 unit, sigs, sets = key, [], []
             sigs.append(b.column(3)[at].as_py())
-            sets.append(np.frombuffer(b.column(4)[at].as_py(), np.uint64))
+            sets.append(shingles(unpack.decompress(b.column(4)[at].as_py()).decode("utf-8", "surrogatepass")))
     if sets:
         yield flush()
 
@@ -327,29 +344,59 @@ def _filter_of(sigs: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _sets_of(wanted):
-    """Sets whose hash passes the filter, once per task."""
+def _texts_of(wanted):
+    """Packed texts whose set passes the filter, once per set and task.
+
+    A packed text is a third of the size of its shingles' hashes.
+    """
 
     def run(batches):
-        bits, mask, seen = np.frombuffer(wanted.value, np.uint8), FILTER_BITS - 1, set()
-        sigs, blobs, size = [], [], 0
-        make = lambda: pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(blobs, pa.binary())], names=["sig", "tokens"])
-        for _, s in _texts(batches):
-            if not len(s) or (sig := set_hash(s)) in seen or not bits[(sig & mask) >> 3] >> (sig & 7) & 1:
-                continue
-            seen.add(sig)
-            sigs.append(sig)
-            blobs.append(s.tobytes())
-            size += len(s)
-            if size >= _HELD:
-                yield make()
-                sigs, blobs, size = [], [], 0
-        if sigs:
-            yield make()
+        from zstandard import ZstdCompressor
+
+        bits, mask, seen, pack = np.frombuffer(wanted.value, np.uint8), FILTER_BITS - 1, set(), ZstdCompressor(level=1)
+        for b in batches:
+            sigs, blobs = [], []
+            for at in range(0, b.num_rows, 128):
+                for t in b.column(0).slice(at, 128).to_pylist():
+                    s = shingles(t)
+                    if not len(s) or (sig := set_hash(s)) in seen or not bits[(sig & mask) >> 3] >> (sig & 7) & 1:
+                        continue
+                    seen.add(sig)
+                    sigs.append(sig)
+                    blobs.append(pack.compress(t.encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(blobs, pa.binary())], names=["sig", "packed"])
 
     return run
 
 
+def _candidates(found: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect every two sets with a whole combination in common.
+
+    ``found`` has the pairs by rare shingles and the sets' common shingles. A pair
+    counts with its rare shingles plus as many common ones as both sets could
+    share. Of sets that share common shingles only, the lists of those must have
+    a combination in common; by the prefix rule once more, they share one of the
+    first ``length - need + 1``, and those make stars.
+    """
+    pairs = found.where("need >= 0").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
+    lists = found.where("need < 0").groupBy(F.col("u").alias("sig")).agg(F.collect_set("v").alias("tokens"), F.max("shared").alias("n"))
+    lists = stash(lists, "common")
+    low = F.ceil(F.col("n") * F.lit(4) / F.lit(5)).cast("bigint")  # the smallest size a partner can have
+    need = F.least(F.greatest(F.lit(COMBINE), F.floor(low / F.lit(20))), low)
+    keys = lists.withColumn("more", F.size("tokens") - need + 1).where("more >= 1")
+    keys = keys.select("sig", F.explode(F.slice(F.array_sort("tokens"), F.lit(1), F.col("more").cast("int"))).alias("token"))
+    lead = keys.groupBy("token").agg(F.min("sig").alias("lead"))
+    stars = keys.join(lead, "token").where("sig != lead").select(F.col("sig").alias("u"), F.col("lead").alias("v")).distinct()
+    count = lists.select("sig", F.size("tokens").alias("more"))
+    mixed = (
+        pairs.where("shared < need")
+        .join(count.select(F.col("sig").alias("u"), F.col("more").alias("mu")), "u")
+        .join(count.select(F.col("sig").alias("v"), F.col("more").alias("mv")), "v")
+        .where(F.col("shared") + F.least("mu", "mv") >= F.col("need"))
+    )
+    return pairs.where("shared >= need").select("u", "v").unionByName(mixed.select("u", "v")).unionByName(stars)
+
+
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(key, n_shingles, component_id) of every row of ``docs``."""
     spark = docs.sparkSession
@@ -367,22 +414,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     entries = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // (4 * _HELD) + 1)
     to_tasks = sc.broadcast(common.tobytes())
-    parts = source.mapInArrow(_prefixes(to_tasks, buckets), "bucket int, token binary, sig binary, n binary, sets binary")
-    parts = stash(parts, "prefixes")
-
-    def stars(batches):
-        for b in batches:
-            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                a, c = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["u", "v"])
-
-    hot = parts.where("bucket < 0").select("bucket", "sig", "n").mapInArrow(stars, "u bigint, v bigint")
-    pairs = (
-        parts.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_bucket_pairs, "u bigint, v bigint, shared bigint, need bigint")
-        .groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+    parts = source.mapInArrow(_prefixes(to_tasks, buckets), "bucket int, token binary, row binary, sig binary, n binary, hot binary")
+    found = (
+        parts.repartition(buckets, F.when(F.col("bucket") < 0, F.hash("sig")).otherwise(F.col("bucket")))
+        .mapInArrow(_bucket_pairs, "u bigint, v bigint, shared bigint, need bigint")
     )
-    near = components(pairs.select("u", "v").unionByName(hot), "candidates")
-    near = stash(near.select(F.col("node").alias("sig"), F.col("component").alias("unit")), "units")
+    near = stash(components(_candidates(stash(found, "shared")), "candidates"), "near")
+    near = near.select(F.col("node").alias("sig"), F.col("component").alias("unit"))
     sizes = near.groupBy("unit").agg(F.count(F.lit(1)).alias("size"))
     cut = F.ceil(F.col("size") / F.lit(float(block))).cast("int")
     own = F.pmod(F.xxhash64("sig"), F.col("cut")).cast("int")
@@ -390,9 +428,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     placed = near.join(sizes, "unit").withColumn("cut", cut).withColumn("own", own).withColumn("other", other)
     placed = placed.select("sig", "unit", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     wanted = sc.broadcast(_filter_of(near.select("sig")))
-    sets = source.mapInArrow(_sets_of(wanted), "sig bigint, tokens binary")
-    sets = sets.join(near.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
-    units = placed.join(sets, "sig").select("unit", "a", "b", "sig", "tokens")
+    texts = source.select("text").mapInArrow(_texts_of(wanted), "sig bigint, packed binary")
+    texts = texts.groupBy("sig").agg(F.first("packed").alias("packed"))
+    units = placed.join(texts, "sig").select("unit", "a", "b", "sig", "packed")
     parts_of = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = (
         units.repartition(parts_of, "unit", "a", "b").sortWithinPartitions("unit", "a", "b", "sig").mapInArrow(_verify, "u bigint, v bigint")
