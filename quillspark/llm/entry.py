@@ -7,6 +7,7 @@ from .extraction import op9_extraction
 from .licenses import op2_licenses
 from .mixing import ORACLE_SQL as _MIX
 from .mixing import op4_mixing
+from .neardup import op3_neardup
 from .packing import op1_packing
 from .quality import op5_quality
 from .setjoin import op7_jaccard
@@ -17,6 +18,7 @@ from .urlfilter import op8_urls
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_licenses": op2_licenses,
+    "op3_neardup": op3_neardup,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_neighbours": op6_neighbours,
