@@ -1,0 +1,192 @@
+"""Tree operators, sources, reuse and incremental parsing on small inputs."""
+
+import json
+import time
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quillspark.functions import columns as C
+from quillspark.kernel.model import Options
+from quillspark.kernel.table import parse, to_json
+from quillspark.operators import reuse, trees
+from quillspark.runtime import ship
+from quillspark.sources import documents as S
+from quillspark.streaming.incremental import apply_edits, reparse
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    ship(spark)
+
+    def make(*sources, options=C.DEFAULT):
+        df = spark.createDataFrame(list(enumerate(sources)), "doc_id bigint, source string")
+        return df.withColumn("ast", C.md_parse("source", options))
+
+    return make
+
+
+def one(df, *cols):
+    return [tuple(r) for r in df.select(*cols).collect()]
+
+
+def test_null_empty_and_too_deep(docs):
+    df = docs(None, "", "> " * 200 + "a")
+    assert one(df, C.md_html("source"), F.size("ast")) == [(None, None), ("", 1), (None, None)]
+    assert one(df, C.parse_error("source"))[2][0].startswith("1: nesting")
+
+
+def test_empty_table(spark, docs):
+    assert docs("a").limit(0).select(C.md_html("source")).count() == 0
+    assert trees.lint(docs("a").limit(0)).count() == 0
+
+
+def test_extra_columns_with_clashing_names(docs):
+    df = docs("# a\n### b").withColumn("type", F.lit(1)).withColumn("id", F.lit(2)).withColumn("line", F.lit(3))
+    assert trees.nodes(df).columns[0] == "doc_id" and trees.lint(df).count() == 1
+
+
+def test_interval_queries(docs):
+    df = docs("> a\n> - b\n\nc")
+    quote = F.element_at(trees.nodes_of_type(F.col("ast"), "BlockQuote"), 1)
+    assert one(df, F.size(trees.subtree(F.col("ast"), quote)), F.size(trees.children_of(F.col("ast"), quote))) == [(7, 2)]
+
+
+def test_subtree_hash_follows_content_and_place(docs):
+    df = docs("a", "a", "b", " a")
+    h = [r[0] for r in one(df, trees.subtree_hash(F.col("ast"), F.element_at(F.filter("ast", lambda n: n["depth"] == 1), 1)))]
+    assert h[0] == h[1] != h[2] and h[0] != h[3] and len(h[0]) == 16
+
+
+def test_policy_composition_is_left_to_right(docs):
+    df = docs("![alt](x) <b>")
+    assert one(df, C.render_html((trees.strip_images | trees.strip_html)(F.col("ast")))) == [("<p>alt </p>\n",)]
+
+
+def test_obfuscated_schemes_are_dropped(docs):
+    df = docs("[a](JaVaScRiPt:x) [b](&#106;avascript:x) [c](java&Tab;script:x) [d](//h) [e](rel:x)")
+    assert one(df, C.render_llm(trees.llm_safe(F.col("ast")))) == [("   d (//h) \n\n",)]
+
+
+def test_limit_depth_does_not_look_into_lists(docs):
+    df = docs("- > > > a", "> > > a")
+    assert one(df, C.extract_text(trees.limit_depth(1)(F.col("ast")))) == [("a",), ("",)]
+
+
+def test_lint_order_and_code_lines(docs):
+    df = docs("```\na  \n```\nb \r\n    c\n")
+    got = one(trees.trailing_whitespace(df), "line", "col")
+    assert got == [(4, 2)]
+
+
+def test_duplicate_rule_is_refused():
+    with pytest.raises(ValueError):
+        trees.DEFAULT_RULES.register("no-empty-link", trees.no_empty_link)
+    assert "x" in trees.DEFAULT_RULES.register("x", trees.no_empty_link).rules
+
+
+def test_diff_kinds(docs):
+    df = docs("# a\n\nb").join(docs("# a\n\n- b\n").select("doc_id", F.col("ast").alias("new_ast")), "doc_id").withColumnRenamed("ast", "old_ast")
+    assert one(trees.diff(df), "kind", "path", "type") == [("removed", [1], "Paragraph"), ("added", [1], "List")]
+
+
+def test_contract_kinds(docs):
+    df = docs(":::{step}\na\n:::", "::::{note}\n:::{tab}\nx\n:::\n::::")
+    assert sorted(one(trees.contract_violations(df), "directive", "violation")) == [("step", "suggested_parent"), ("tab", "wrong_parent")]
+
+
+def test_frontmatter_cases(spark):
+    cases = ["---\na: 1\n---\nb", "no", "---\n: : bad\n  x\n---\nb", "---\n- l\n---\nb", "---\na: 1\nb", "---\nweight: x\norder: '7'\n---", "", None, "---\n---\nb"]
+    df = spark.createDataFrame([(x,) for x in cases], "source string")
+    meta, body = S.parse_frontmatter(F.col("source"))
+    got = [(json.loads(m) if m else None, b) for m, b in one(df, meta, body)]
+    assert got[0] == ({"a": 1}, "b") and got[1] == ({}, "no") and got[2] == ({}, "b") and got[3] == ({}, "b")
+    assert got[4] == ({}, "---\na: 1\nb") and got[5] == ({"weight": "x", "order": 7.0}, "") and got[8] == ({}, "b")
+    assert [r[0] for r in one(df, S.extract_body(F.col("source")))][:5] == ["b", "no", "b", "b", "a: 1\nb"]
+
+
+def test_notebook_outputs(spark):
+    cells = [
+        {"cell_type": "code", "source": ["a\n", "b"], "outputs": [
+            {"output_type": "execute_result", "data": {"text/plain": ["<x>"]}}, {"output_type": "display_data", "data": {"image/png": "QQ==", "text/plain": "p"}},
+            {"output_type": "display_data", "data": {"text/html": "<i>h</i>", "text/plain": "p"}}, {"output_type": "error", "ename": "E", "evalue": "v", "traceback": []},
+            {"output_type": "stream", "text": " "}]},
+        {"cell_type": "raw", "source": "r"}, {"cell_type": "markdown", "source": ""},
+    ]
+    nb = json.dumps({"nbformat": 4, "metadata": {"kernelspec": {"name": "k", "language": "l"}}, "cells": cells})
+    source, meta = S.parse_notebook(F.col("nb"))
+    (text, title, count, kernel), = one(spark.createDataFrame([(nb,)], "nb string").select(source.alias("s"), meta.alias("m")), "s", "m.title", "m.cell_count", "m.kernel_name")
+    assert text == (
+        '```python\na\nb\n```\n\n<div class="nb-output"><pre>&lt;x&gt;</pre></div>\n\n<div class="nb-output nb-output--image"><img src="data:image/png;base64,QQ==" alt="output" /></div>\n\n'
+        '<div class="nb-output nb-output--html"><i>h</i></div>\n\n<div class="nb-output nb-output--error"><pre class="notebook-error">E: v</pre></div>\n\nr'
+    )
+    assert (title, count, kernel) == ("Untitled", 3, "k")
+    with pytest.raises(Exception):
+        spark.createDataFrame([('{"nbformat": 3}',)], "nb string").select(source).collect()
+
+
+def test_read_markdown(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# a\n")
+    ship(spark)
+    rows = S.read_markdown(spark, str(tmp_path))
+    assert one(rows, C.md_html("source")) == [('<h1 id="a">a</h1>\n',)] and one(rows, "path")[0][0].endswith("a.md")
+
+
+def test_cache_is_used(spark, docs):
+    df = docs("a", "a", "b").drop("ast")
+    done = reuse.parse_many(df).select("content_hash", "config_hash", "ast").dropDuplicates(["content_hash"])
+    again = reuse.parse_many(df, cache=done)
+    assert sorted(one(again, "doc_id", C.render_html("ast"))) == [(0, "<p>a</p>\n"), (1, "<p>a</p>\n"), (2, "<p>b</p>\n")]
+    assert reuse.with_hashes(df, Options.of("table")).first()["config_hash"] != reuse.with_hashes(df).first()["config_hash"]
+
+
+PARTS = st.lists(st.sampled_from(["para one", "# head", "- item\n- more", "> quote", "```\ncode\n```", "---", "para *two*\nlines", "    code"]), min_size=1, max_size=8)
+
+
+@settings(max_examples=300, deadline=None)
+@given(PARTS, st.integers(0, 200), st.integers(0, 12), st.text(alphabet="ab #>-`*\n", max_size=10))
+def test_incremental_equals_full(parts, at, cut, insert):
+    old = "\n\n".join(parts) + "\n"
+    a = min(at, len(old))
+    b = min(a + cut, len(old))
+    new = old[:a] + insert + old[b:]
+    tree, _ = reparse(new, parse(old, Options()), a, b, len(insert))
+    full = parse(new, Options())
+    assert [c.type for c in tree.children] == [c.type for c in full.children]
+    assert to_json(tree).replace(" ", "") == to_json(full).replace(" ", "") or [to_json(c) for c in tree.children] == [to_json(c) for c in full.children]
+
+
+def test_incremental_parses_a_region_only():
+    old = "\n\n".join(f"para {i}" for i in range(100)) + "\n"
+    at = old.index("para 50")
+    tree, part = reparse(old[:at] + "new " + old[at:], parse(old, Options()), at, at, 4)
+    assert part and len(tree.children) == 100
+
+
+def test_edit_stream(spark, tmp_path):
+    ship(spark)
+    for k, row in enumerate([(1, 0, 0, 0, "# a"), (1, 1, 3, 3, "b"), (2, 0, 0, 0, "x")]):
+        spark.createDataFrame([row], "doc_id bigint, version bigint, edit_start int, edit_end int, inserted string").write.parquet(str(tmp_path / "in" / str(k)))
+    edits = spark.readStream.schema("doc_id bigint, version bigint, edit_start int, edit_end int, inserted string").parquet(str(tmp_path / "in" / "*"))
+    q = apply_edits(edits).writeStream.format("memory").queryName("edited").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    last = {r["doc_id"]: r["html"] for r in spark.table("edited").orderBy("version").collect()}
+    assert last == {1: '<h1 id="ab">ab</h1>\n', 2: "<p>x</p>\n"}
+
+
+def test_native_scalars_equal_the_kernel(spark):
+    from quillspark.kernel.render import cut_at_word, slugify
+
+    texts = ["Café Bär!", "  a -- b  ", "one two three four", "x" * 40, "", "a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in one(df, C.slugify(F.col("t")))] == [slugify(t) for t in texts]
+    assert [r[0] for r in one(df, C.cut_at_word(F.col("t"), 12))] == [cut_at_word(t, 12) for t in texts]
+
+
+def test_parse_speed():
+    text = ("Some prose with *marks* and `code`, then more words to read here.\n" * 5 + "\n") * 300
+    start = time.time()
+    parse(text, Options())
+    assert time.time() - start < 2
