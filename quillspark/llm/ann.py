@@ -18,8 +18,8 @@ choose all parts. Equal vectors share a product to the last bit, since every
 product is summed in the same order; of equal products smaller ids come first.
 
 Defined results: vectors that are null, zero, of another length than the most
-common one, or hold null or non-finite components take no part, as query or
-candidate; with fewer candidates than asked all are returned; repeated rows are
+common one, or hold null or non-finite components, and rows without id, take no part as
+query or candidate; with fewer candidates than asked all are returned; repeated rows are
 candidates each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -203,7 +203,7 @@ def search(
     """(query_id, rank, key, score): the k nearest of each row that ``is_query``."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = stash(clean(vectors, key, vector), "vectors")
+    rows = stash(clean(vectors, key, vector).where("id is not null"), "vectors")
     got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     schema = f"query_id bigint, rank int, {key} bigint, score double"
     if not got:
