@@ -88,11 +88,11 @@ def mix(
     """``docs`` with their dimensions, ``mix_tokens``, ``mix_rate`` and ``mix_selected``.
 
     ``targets`` maps a dimension to a table (value, share); without one the
-    dimension's natural shares are smoothed.
+    dimension's natural shares are smoothed. Columns of those names are replaced.
     """
     named = {d: f"mix_{d}" for d in dims}
     own = topic_of(F.col("text")) if "topic" in dims and "topic" not in docs.columns else None
-    rows = docs.withColumns(
+    rows = docs.drop("mix_rate", "mix_selected").withColumns(
         {n: F.coalesce((own if d == "topic" and own is not None else F.col(d)).cast("string"), F.lit("null")) for d, n in named.items()}
         | {"mix_tokens": tokens_of(F.col("text"))}
     )
@@ -107,7 +107,7 @@ def mix(
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents with the rate of their cell and whether they are taken."""
-    got = mix(table(spark, sf_dir, "documents"))
+    got = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return got.select(
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
         F.col("mix_tokens").alias("tokens"), F.round("mix_rate", 6).alias("rate"), F.col("mix_selected").alias("selected"),
