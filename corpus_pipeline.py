@@ -28,7 +28,8 @@ from quillspark.runtime import stash, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("quality_keep").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")  # whatever other columns are called
+    return score_quality(rows, table(spark, sf_dir, "labels")).where("quality_keep").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the target marginals of source, language and topic."""
-    return mix(docs).where(F.col("mix_selected")).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")
+    return mix(rows).where(F.col("mix_selected")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
