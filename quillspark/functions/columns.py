@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspark.kernel import render
 from quillspark.kernel.model import Node, Options, ParseError
-from quillspark.kernel.table import ARROW_TYPE, SPARK_TYPE, arrow_rows, from_json, parse, to_json, unflatten
+from quillspark.kernel.table import ARROW_TYPE, SPARK_TYPE, arrow_rows, from_json, parse, to_json, trees_of
 
 AST = SPARK_TYPE
 DEFAULT = Options()
@@ -42,7 +42,7 @@ def _per_source(options: Options, make: Callable[[Node, Options], object], kind:
 def _per_ast(make: Callable[[Node], object], kind: str, arrow: pa.DataType):
     @F.arrow_udf(kind)
     def run(ast: pa.Array) -> pa.Array:
-        return pa.array([None if rows is None else make(unflatten(rows)) for rows in ast.to_pylist()], arrow)
+        return pa.array([None if t is None else make(t) for t in trees_of(ast)], arrow)
 
     return run
 

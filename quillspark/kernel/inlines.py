@@ -24,7 +24,11 @@ _MATH = re.compile(r"\$(?!\$)([^$\n]+)\$(?!\$)")
 _NOTE = re.compile(r"\[\^([\w-]+)\](?!:)")
 _BARE_URL = re.compile(r"https?://[^\s<`]+|www\.[^\s<`]+", re.I)
 _BARE_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+_-]{0,63}@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")
+_BARE_HINT = re.compile(r"https?://|www\.|@", re.I)
+_BARE_START = re.compile(r"(?<![^ \t\n*_~(])(?=https?://|www\.|[A-Z0-9][A-Z0-9.+_-]{0,63}@)", re.I)
 _LABEL = re.compile(r"\[((?:[^\\\[\]]|\\.){1,999})\]", re.S)
+_BLANKS = re.compile(r"[ \t\n]*")
+_LINE_END = re.compile(r"[ \t]*(?:\n|$)")
 _SPACE = re.compile(r"[ \t]*\n?[ \t]*")
 _TITLE = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|\(((?:[^()\\]|\\.)*)\)", re.S)
 _ANGLE = re.compile(r"<((?:[^<>\n\\]|\\.)*)>")
@@ -96,11 +100,11 @@ def parse_definition(text: str) -> tuple[str, str, str | None, int] | None:
     blank = _SPACE.match(text, end).end()
     title, after = None, end
     if blank > end and (t := _title(text, blank)):
-        rest = re.compile(r"[ \t]*(?:\n|$)").match(text, t[1])
+        rest = _LINE_END.match(text, t[1])
         if rest:
             title, after = t
             return m[1], url, title or None, rest.end()
-    rest = re.compile(r"[ \t]*(?:\n|$)").match(text, after)
+    rest = _LINE_END.match(text, after)
     return (m[1], url, None, rest.end()) if rest else None
 
 
@@ -129,10 +133,9 @@ class Inliner:
         self.options, self.refs = options, refs
         special = "\\`*_[]!<&\n" + ("{" if options.roles else "") + ("~" if options.strikethrough else "") + ("$" if options.math else "")
         self.special = special
-        bare = r"|[ (]|[*_~(]" if options.autolinks else ""
         self.run = re.compile(f"[^{re.escape(special)}]+")
         self.any = re.compile(f"[{re.escape(special)}]")
-        self.bare = bool(bare)
+        self.bare = options.autolinks
 
     def fill(self, root: Node) -> None:
         """Parse the raw text of every leaf below ``root``."""
@@ -160,9 +163,10 @@ class Inliner:
     def parse(self, text: str, at: Node) -> list[Node]:
         """The inline nodes of one text."""
         self.where = at
-        if not self.bare and not self.any.search(text):
+        starts = [m.start() for m in _BARE_START.finditer(text)] if self.bare and _BARE_HINT.search(text) else []
+        if not starts and not self.any.search(text):
             return [self._node("Text", content=text)] if text else []
-        return self._scan(text)
+        return self._scan(text, starts)
 
     def _node(self, kind: str, children: list[Node] | None = None, **data) -> Node:
         w = self.where
@@ -170,7 +174,7 @@ class Inliner:
 
     # -- scan ------------------------------------------------------------
 
-    def _scan(self, text: str) -> list[Node]:
+    def _scan(self, text: str, starts: list[int]) -> list[Node]:
         out: list[Node] = []
         marks: list[_Mark] = []
         brackets: list[tuple[int, int, bool, int]] = []  # place among nodes, place in text, image, marks below
@@ -180,17 +184,17 @@ class Inliner:
         ticks: dict[int, int] = {}
         while i < n:
             c = text[i]
-            if self.bare and (c.isalnum()) and (i == 0 or text[i - 1] in " \t\n*_~("):
-                got = self._bare(text, i)
-                if got:
+            if starts:
+                while starts and starts[0] < i:
+                    del starts[0]
+                if starts and starts[0] == i and (got := self._bare(text, i)):
                     add(got[0])
                     i = got[1]
                     continue
             if c not in self.special:
                 end = self.run.match(text, i).end()
-                if self.bare:  # stop before each place where a bare link may start
-                    m = re.compile(r"[ \t(](?=[A-Za-z0-9])").search(text, i, end)
-                    end = m.end() if m else end
+                if starts:  # a bare link may start inside
+                    end = min(end, next((k for k in starts if k > i), end))
                 add(self._node("Text", content=text[i:end]))
                 i = end
             elif c == "\n":
@@ -319,17 +323,17 @@ class Inliner:
         """(url, title, place after) of a link whose text stands between the brackets."""
         i = close + 1
         if text[i : i + 1] == "(":
-            at = re.compile(r"[ \t\n]*").match(text, i + 1).end()
+            at = _BLANKS.match(text, i + 1).end()
             if text[at : at + 1] == ")":
                 return "", None, at + 1
             got = _destination(text, at)
             if got:
                 url, end = got
-                blank = re.compile(r"[ \t\n]*").match(text, end).end()
+                blank = _BLANKS.match(text, end).end()
                 title = None
                 if blank > end and (t := _title(text, blank)):
                     title, end = t
-                    blank = re.compile(r"[ \t\n]*").match(text, end).end()
+                    blank = _BLANKS.match(text, end).end()
                 if text[blank : blank + 1] == ")":
                     return url, title, blank + 1
         m = _LABEL.match(text, i)

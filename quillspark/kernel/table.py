@@ -97,6 +97,50 @@ def unflatten(rows: list[dict]) -> Node:
     return root
 
 
+_PAYLOAD = {
+    "Heading": ("level", "style", "explicit_id"), "Link": ("url", "title"), "Image": ("url", "title"), "Role": ("name",), "FootnoteRef": ("identifier",),
+    "FootnoteDef": ("identifier",), "FencedCode": ("info", "marker", "fence_indent", "source_start", "source_end"), "List": ("ordered", "start", "tight"),
+    "ListItem": ("checked",), "Directive": ("name", "title", "options"), "Table": ("alignments",), "TableRow": ("is_header",), "TableCell": ("is_header", "align"),
+}
+_NEEDED = ("id", "parent", "type", "text", "lineno", "col", "offset", "end_offset", "end_lineno")
+
+
+def trees_of(ast: pa.Array) -> list[Node | None]:
+    """The trees of a list array of node rows, read column by column."""
+    if isinstance(ast, pa.ChunkedArray):
+        ast = ast.combine_chunks()
+    rows = ast.flatten()
+    col = {n: rows.field(n).to_pylist() for n in _NEEDED}
+    kinds = set(col["type"])
+    wanted = {f for k in kinds for f in _PAYLOAD.get(k, ())}
+    col |= {n: rows.field(n).to_pylist() for n in wanted}
+    out, at = [], 0
+    for size in ast.value_lengths().to_pylist():
+        if size is None:
+            out.append(None)
+            continue
+        by_id: dict[int, Node] = {}
+        root = None
+        for i in range(at, at + size):
+            kind, parent = col["type"][i], col["parent"][i]
+            above = by_id.get(parent)
+            if parent >= 0 and above is None:
+                continue
+            data = {f: col[f][i] for f in _PAYLOAD.get(kind, ())}
+            if kind in _TEXT_OF:
+                data[_TEXT_OF[kind]] = col["text"][i] or ""
+            if kind == "Directive":
+                data["options"] = dict(data["options"] or ())
+            by_id[col["id"][i]] = node = Node(kind, [], data, col["lineno"][i], col["col"][i], col["offset"][i], col["end_offset"][i], col["end_lineno"][i])
+            if above is None:
+                root = node
+            else:
+                above.children.append(node)
+        out.append(root or Node("Document"))
+        at += size
+    return out
+
+
 def parse(source: str, options: Options) -> Node:
     """The tree of one source."""
     try:

@@ -173,15 +173,14 @@ def lint_documents(spark, sf_dir):
     return trees.trailing_whitespace(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select n_nationkey as doc_id, kind, path, type from nation, (values ('modified', [1], 'Paragraph'), ('removed', [2], 'ThematicBreak'), ('added', [2], 'List'), ('added', [3], 'Paragraph')) t(kind, path, type)")
+@query("select n_nationkey as doc_id, kind, path, type from nation, (values ('modified', '1', 'Paragraph'), ('removed', '2', 'ThematicBreak'), ('added', '2', 'List'), ('added', '3', 'Paragraph')) t(kind, path, type)")
 def diff_documents(spark, sf_dir):
     """Changes between two versions."""
     old = "'# ' || n_name || chr(10) || 'a' || chr(10) || chr(10) || '---'"
     new = "'# ' || n_name || chr(10) || 'b' || chr(10) || chr(10) || '- c' || chr(10) || chr(10) || 'd'"
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.expr(old).alias("old"), F.expr(new).alias("new"))
-    # the last paragraph of the new version is no part of the list
     rows = rows.select("doc_id", C.md_parse("old").alias("old_ast"), C.md_parse("new").alias("new_ast"))
-    return trees.diff(rows)
+    return trees.diff(rows).withColumn("path", F.array_join("path", "."))
 
 
 @query("select p_partkey as doc_id, 0 as n from part")

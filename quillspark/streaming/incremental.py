@@ -23,7 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillspark.functions.columns import DEFAULT
 from quillspark.kernel.model import Node, Options, ParseError
 from quillspark.kernel.render import HtmlRenderer
-from quillspark.kernel.table import SPARK_TYPE, arrow_rows, parse, unflatten
+from quillspark.kernel.table import SPARK_TYPE, arrow_rows, parse, trees_of
 
 _SAFE = frozenset(("Paragraph", "Heading", "ThematicBreak"))
 
@@ -85,9 +85,9 @@ def _udf(options: Options):
     @F.arrow_udf(SPARK_TYPE)
     def run(source: pa.Array, previous: pa.Array, start: pa.Array, end: pa.Array, length: pa.Array) -> pa.Array:
         out = []
-        for s, p, a, b, n in zip(*(c.to_pylist() for c in (source, previous, start, end, length))):
+        for s, p, a, b, n in zip(source.to_pylist(), trees_of(previous), *(c.to_pylist() for c in (start, end, length))):
             try:
-                out.append(None if s is None else parse(s, options) if p is None else reparse(s, unflatten(p), a, b, n, options)[0])
+                out.append(None if s is None else parse(s, options) if p is None else reparse(s, p, a, b, n, options)[0])
             except ParseError:
                 out.append(None)
         return arrow_rows(out)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from quillspark.kernel.blocks import BlockParser
 from quillspark.kernel.model import PLUGINS, Options, ParseError
 from quillspark.kernel.render import HtmlRenderer, cut_at_sentence, cut_at_word, llm_text, plain_text, slugify
-from quillspark.kernel.table import flatten, from_json, parse, to_json, unflatten, url_scheme
+from quillspark.kernel.table import arrow_rows, flatten, from_json, parse, to_json, trees_of, unflatten, url_scheme
 
 
 def h(source, *plugins):
@@ -154,6 +154,7 @@ def test_intervals_and_round_trips(source):
     again = unflatten(table)
     assert HtmlRenderer(Options()).render(again) == HtmlRenderer(Options()).render(tree)
     assert to_json(from_json(to_json(tree))) == to_json(tree)
+    assert [t and to_json(t) for t in trees_of(arrow_rows([tree, None, tree]))] == [to_json(tree), None, to_json(tree)]
 
 
 @settings(max_examples=100, deadline=None)
