@@ -43,6 +43,7 @@ from quillspark.runtime import ship, stash, table
 
 from .components import components
 from .shingles import set_hash, shingles
+from .tokens import release
 
 #: shingles of more sets than this are no longer joined singly
 RARE = 16
@@ -53,7 +54,7 @@ FILTER_BITS = 1 << 25
 BLOCK = 512
 COMBINE = 3
 #: shingles a task holds before it hands them on
-_HELD = 1_000_000
+_HELD = 500_000
 
 
 def _ceil80(n):
@@ -66,6 +67,7 @@ def _extra(n):
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+    release()
     for b in batches:
         for at in range(0, b.num_rows, 128):
             part = b.slice(at, 128)
@@ -108,7 +110,7 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(ids) >= 4096:
             yield rows(0, ids, ns, sigs)
             ids, ns, sigs = [], [], []
-        if size >= 2 * _HELD:
+        if size >= 4 * _HELD:
             yield heavy(held)
             held, size = [], 0
             seen.clear()

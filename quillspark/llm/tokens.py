@@ -11,7 +11,7 @@ import numpy as np
 #: id that ends every document
 END_OF_DOCUMENT = 2
 #: entries a worker keeps; a full cache is emptied and fills again
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
 # texts of printable ASCII and Latin letters: their pre-tokens can be told apart here
 _PLAIN = re.compile("[\x20-\x7e\n\t\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
@@ -89,3 +89,11 @@ def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Give the worker's cached words back; tasks of other operators that hold much call this."""
+    import pyarrow
+
+    _ENCODERS.clear()
+    pyarrow.default_memory_pool().release_unused()
