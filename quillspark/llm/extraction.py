@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quillspark.runtime import ship, table
 
 WORD = 1.0
-INSIDE, OUTSIDE = 0.05, 6.0
+INSIDE, OUTSIDE = 0.05, 3.0
 
 # elements whose content is no markup
 _RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes")
@@ -84,7 +84,7 @@ def _is_side(name: str, attrs: str) -> bool:
 
 
 def sequence(page: str) -> list[tuple[str, str]]:
-    """(tag, text) tokens outside side elements: a tag name, or '' and a stretch of text."""
+    """(tag, text) tokens: a tag name, ``side`` for a whole side element, or '' and a stretch of text."""
     tokens: list[tuple[str, str, str]] = []
     at = 0
     for m in _TOKEN.finditer(page):
@@ -117,8 +117,7 @@ def sequence(page: str) -> list[tuple[str, str]]:
                 j = k + 1
                 while j < n and not ((t := tokens[j][0]) in _ENDS_P or t in ("/body", "/html", "/div", "/article", "/main", "/section")):
                     j += 1
-            out.append((tag, ""))
-            out.append(("/" + tag, ""))
+            out.append(("side", ""))  # what is left of it parts blocks
             k = j
             continue
         out.append((tag, text))
@@ -135,6 +134,11 @@ LABELLED = (
     "<ul><li>North: four to six millimetres of rain</li><li>South: it stays dry until noon</li></ul><p>Winds are light.</p>}}</div><div><ul><li><a>more</a></li><li><a>print</a></li></ul></div></div></body>",
     "<body><div><a>Start</a> <a>Shop</a> <a>Help</a></div><div><div>{{<p>A <i>short</i> note on <a>rivers</a>: they carve valleys, and they carry sand to the sea.</p><blockquote>Water wins.</blockquote>"
     "<p>Over ages <em>all</em> hills wear down.</p>}}</div></div><div><div><span>Tags</span> <a>water</a> <a>hills</a></div></div><div><small>printed on paper</small></div></body>",
+    "<body><div><ul><li><a>in</a></li><li><a>out</a></li></ul></div><main>{{<section><h3>Stone walls</h3><div><div>Dry walls hold by <a>weight</a> and by friction alone.</div>"
+    "<div>Each stone <span>crosses</span> the joint of the two below it.</div></div></section><section><h3>Repair</h3><div><table><tr><td>Tool</td><td>Use</td></tr>"
+    "<tr><td>hammer</td><td>to dress a face</td></tr></table></div><ol><li>Strip the wall down to sound courses.</li><li>Lay the stones again from below.</li></ol></section>}}</main><div><a>next</a></div></body>",
+    "<body><div><div><a>login</a></div></div><div>{{<div><h1>Ferry times</h1></div><div><p>Boats leave on the hour from both piers.</p></div><div><p>On feast days they leave <strong>twice</strong> as often.</p>"
+    "<pre>first 06:00 last 23:00</pre></div><figure><figcaption>The old pier in winter</figcaption></figure>}}</div><div><div><a>map</a> <a>jobs</a></div></div></body>",
 )
 
 
@@ -146,6 +150,8 @@ def learn_weights(pages: Iterable[str]) -> dict[str, float]:
         region, after = rest.split("}}", 1)
         inside.update(t.lstrip("/") for t, _ in sequence(region) if t)
         outside.update(t.lstrip("/") for part in (before, after) for t, _ in sequence(part) if t)
+    inside.pop("side", None)
+    outside.pop("side", None)
     return {t: INSIDE + OUTSIDE * (outside[t] + 0.02) / (inside[t] + outside[t] + 0.5) for t in inside.keys() | outside.keys()}
 
 
@@ -175,13 +181,13 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     tokens = sequence(page)
     other = INSIDE + OUTSIDE * 0.04  # a tag that no labelled page has
     text = [_html.unescape(x) if not t and "&" in x else x for t, x in tokens]
-    scores = [WORD * len(x.split()) if not t else -weights.get(t.lstrip("/"), other) for (t, _), x in zip(tokens, text)]
+    scores = [WORD * len(x.split()) if not t else -INSIDE if t == "side" else -weights.get(t.lstrip("/"), other) for (t, _), x in zip(tokens, text)]
     a, b = best_region(scores)
     blocks, run = [], []
     for (t, _), x in zip(tokens[a:b], text[a:b]):
         if not t:
             run.append(x)
-        elif t.lstrip("/") in _BLOCK:
+        elif t == "side" or t.lstrip("/") in _BLOCK:
             blocks.append(run)
             run = []
     blocks.append(run)
