@@ -401,6 +401,8 @@ def test_extraction_of_articles(spark):
         ("<div class='ad'>Buy! <p>kept words here and more", "kept words here and more"),
         ("plain text only", "plain text only"),
         ("<p></p><div></div>", ""),
+        ("<div><h2>T</h2><div>one two three four five six</div><form>x</form><p>End.</p></div><div>no</div>", "T\none two three four five six\nEnd."),
+        ("<article>a b c d e f<p>g<div><a>h</a></div></article><div>no</div>", "a b c d e f\ng\nh"),
     ],
 )
 def test_extraction_cases(page, text):
