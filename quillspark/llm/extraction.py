@@ -6,8 +6,8 @@ largest sum, found in one linear scan, is the content region. Elements that neve
 hold main text (scripts, menus, forms, adverts, comments ...) leave the sequence
 beforehand, with everything inside them.
 
-The region takes its whole container when most of the container's words are its
-own. Inside it a block element or a line break ends a block. Character
+The region takes the containers around it while most of their words are its own
+and the others are no links. Inside it a block element or a line break ends a block. Character
 references are decoded, white space in a block becomes one space, and the blocks
 stand one to a line in page order.
 
@@ -38,8 +38,8 @@ from quillspark.runtime import ship, table
 
 WORD = 1.0
 INSIDE, OUTSIDE = 0.05, 3.0
-#: a region with so much of its container's words takes the whole container
-WHOLE = 0.6
+#: a region with so much of its container's words takes the whole container, if no more of the others are links
+WHOLE, LINKED = 0.7, 0.3
 _CONTAINERS = frozenset(("article", "main", "section", "div", "td"))
 
 # elements whose content is no markup
@@ -178,27 +178,33 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def whole_container(tokens: list[tuple[str, str]], scores: list[float], a: int, b: int) -> tuple[int, int]:
-    """The innermost container around a region, if most of its words are the region's; else the region.
+    """The widest container around a region that adds few words to it, and few of those in links; else the region.
 
     Short blocks at a region's edge score less than the tags before them cost.
     """
+    words, linked, inside = [0.0], [0.0], 0  # running counts
+    for (t, _), s in zip(tokens, scores):
+        inside = max(0, inside + (t == "a") - (t == "/a"))
+        words.append(words[-1] + max(s, 0.0))
+        linked.append(linked[-1] + (max(s, 0.0) if inside else 0.0))
     opened: list[tuple[str, int]] = []
-    best = None
+    span = (a, b)
     for k, (t, _) in enumerate(tokens):
         if t in _CONTAINERS:
             opened.append((t, k))
         elif t[:1] == "/" and t[1:] in _CONTAINERS:
             at = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == t[1:]), None)
-            if at is not None:
-                start = opened[at][1]
-                del opened[at:]
-                if start <= a and k >= b - 1 and best is None:
-                    best = (start, k + 1)
+            if at is None:
+                continue
+            start = opened[at][1]
+            del opened[at:]
+            if start <= a and k >= b - 1:
+                more = words[k] - words[start] - (words[b] - words[a])
+                in_links = linked[k] - linked[start] - (linked[b] - linked[a])
+                if words[b] - words[a] < WHOLE * (words[k] - words[start]) or in_links > LINKED * more:
                     break
-    if best is None:
-        return a, b
-    words = lambda x, y: sum(s for s in scores[x:y] if s > 0)
-    return best if words(a, b) >= WHOLE * words(*best) else (a, b)
+                span = (start, k + 1)
+    return span
 
 
 def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:

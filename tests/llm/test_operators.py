@@ -402,7 +402,8 @@ def test_extraction_of_articles(spark):
         ("plain text only", "plain text only"),
         ("<p></p><div></div>", ""),
         ("<div><h2>T</h2><div>one two three four five six</div><form>x</form><p>End.</p></div><div>no</div>", "T\none two three four five six\nEnd."),
-        ("<article>a b c d e f<p>g<div><a>h</a></div></article><div>no</div>", "a b c d e f\ng\nh"),
+        ("<article>a b c d e f<p>g<div><a>h</a></div></article><div>no</div>", "a b c d e f\ng"),
+        ("<div><div><a>in</a> <a>out</a></div><div>a b c d e f g h i j k l m n</div></div>", "a b c d e f g h i j k l m n"),
     ],
 )
 def test_extraction_cases(page, text):
