@@ -235,6 +235,29 @@ def cut_at_word(c: Column, length: int, suffix: str = "...") -> Column:
     return F.when(F.length(c) <= length, c).otherwise(F.concat(kept, F.lit(suffix)))
 
 
+def hash_text(c: Column, algorithm: str = "sha256", truncate: int | None = None) -> Column:
+    """A hex digest by name (md5, sha1, sha224, sha256, sha384, sha512), perhaps its first characters."""
+    if algorithm in ("md5", "sha1"):
+        out = getattr(F, algorithm)(c.cast("binary"))
+    elif algorithm in ("sha224", "sha256", "sha384", "sha512"):
+        out = F.sha2(c.cast("binary"), int(algorithm[3:]))
+    else:
+        raise ValueError(f"unknown algorithm: {algorithm}")
+    return out if truncate is None else F.substring(out, 1, truncate)
+
+
+def location_text(line: Column, col: Column, file: Column | None = None) -> Column:
+    """``file:line:col``, without the file where there is none."""
+    return F.concat_ws(":", *([file] if file is not None else []), line.cast("string"), col.cast("string"))
+
+
+def register(spark, options: Options = DEFAULT) -> None:
+    """Make md_html, md_llm, md_text, md_parse, md_excerpt and md_meta known to SQL."""
+    made = {"md_html": _html(options), "md_llm": _llm(options), "md_text": _text(options), "md_parse": _parser(options), "md_excerpt": _excerpt(options, 750, True, True, False), "md_meta": _meta(options, 160)}
+    for name, fn in made.items():
+        spark.udf.register(name, fn)
+
+
 def hash_content(c: Column) -> Column:
     """SHA-256 in hex."""
     return F.sha2(c, 256)

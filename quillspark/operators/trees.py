@@ -155,6 +155,22 @@ def trailing_whitespace(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return lines.select(*_diagnostic(key, "trailing-whitespace", "info", message, number, F.length("kept") + 1, start + F.length("kept"), start + F.length("text")))
 
 
+def diagnostic_text(file: str | None = None) -> Column:
+    """``file:line:col: [rule] message`` of a diagnostics row."""
+    place = F.concat_ws(":", *([F.lit(file)] if file else []), F.col("line").cast("string"), F.col("col").cast("string"))
+    return F.concat(place, F.lit(": ["), "rule_id", F.lit("] "), "message")
+
+
+def diagnostic_json() -> Column:
+    """A diagnostics row as JSON."""
+    return F.to_json(F.struct(*_DIAGNOSTIC))
+
+
+def severity_lsp(severity: Column) -> Column:
+    """The number that editors use for a severity."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), severity)
+
+
 class LintRules:
     """An ordered set of rules by id; a second rule of one id is refused."""
 
@@ -277,4 +293,9 @@ def contract_violations(docs: DataFrame, key: str = "doc_id", contracts: dict[st
             ).otherwise(F.array().cast("array<struct<violation:string,message:string>>")),
         )
     )
-    return rows.select(key, "directive", "line", F.explode(bad).alias("v")).select(key, "directive", "v.violation", "v.message", "line")
+    hint = (
+        F.when(F.col("v.violation") == "missing_parent", F.concat(F.lit("Wrap '"), "directive", F.lit("' inside a ':::{"), F.element_at("must", 1), F.lit("}' block")))
+        .when(F.col("v.violation") == "missing_required_child", F.concat(F.lit("Add at least one ':::{"), F.element_at("needs", 1), F.lit("}' inside '"), "directive", F.lit("'")))
+    )
+    rows = rows.select(key, "directive", "line", "must", "needs", F.explode(bad).alias("v"))
+    return rows.select(key, "directive", "v.violation", "v.message", "line", hint.alias("suggestion"))

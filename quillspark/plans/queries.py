@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 from quillspark.kernel.model import Options
 from quillspark.operators import reuse, trees
-from quillspark.runtime import ship, table
+from quillspark.functions.handlers import DEFAULT_ROLES, Handlers, directive, md_html_with, registry_of
+from quillspark.runtime import ship, spread, table
 from quillspark.sources import documents as S
 from quillspark.streaming.incremental import parse_incremental
 
@@ -38,7 +39,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark, sf_dir, name: str, key: str, source: str, options: Options = C.DEFAULT) -> DataFrame:
-    rows = table(spark, sf_dir, name).select(F.expr(key).alias("doc_id"), F.expr(source).alias("source"))
+    rows = spread(table(spark, sf_dir, name).select(F.expr(key).alias("doc_id"), F.expr(source).alias("source")))
     return rows.withColumn("ast", C.md_parse("source", options))
 
 
@@ -281,16 +282,62 @@ def quote_per_conversation(spark, sf_dir):
 @query()
 def html_of_documents(spark, sf_dir):
     """HTML of all documents, every plugin on."""
-    return table(spark, sf_dir, "documents").select("doc_id", C.md_html("text", Options.of("all")).alias("html"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", C.md_html("text", Options.of("all")).alias("html"))
 
 
 @query()
 def html_of_pages(spark, sf_dir):
     """Raw pages as HTML blocks."""
-    return table(spark, sf_dir, "pages").select("page_id", C.md_html("html").alias("html"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", C.md_html("html").alias("html"))
 
 
 @query()
 def excerpt_of_documents(spark, sf_dir):
     """Excerpts of all documents."""
-    return table(spark, sf_dir, "documents").select("doc_id", C.md_excerpt("text", 200).alias("excerpt"), C.md_meta("text").alias("meta"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", C.md_excerpt("text", 200).alias("excerpt"), C.md_meta("text").alias("meta"))
+
+
+@directive("box")
+def _box(renderer, node, body):
+    return f"<box>{body}</box>"
+
+
+@query(f"select n_nationkey as id, '<box><p>' || upper(n_name) || ' <i>' || n_regionkey || '</i> <svg>x</svg></p>' || {NL} || '</box><hl py>1' || {NL} || '</hl>' || {NL} as html from nation")
+def custom_handlers(spark, sf_dir):
+    """A directive, a role, an icon resolver, a highlighter and a text change of the user's own."""
+    handlers = Handlers(
+        registry_of(_box), DEFAULT_ROLES.register("it", handler=lambda r, n: f"<i>{n.data['content']}</i>"),
+        lambda name: f"<svg>{name}</svg>", lambda code, language: f"<hl {language}>{code}</hl>", str.upper,
+    )
+    source = "':::{box}' || chr(10) || lower(n_name) || ' {it}`' || cast(n_regionkey as string) || '` {icon}`x`' || chr(10) || ':::' || chr(10) || '```py' || chr(10) || '1' || chr(10) || '```'"
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), md_html_with(F.expr(source), handlers).alias("html"))
+
+
+@query(f"select n_nationkey as id, '<p>' || n_name || '</p>' || {NL} as html, n_name as text from nation")
+def sql_functions(spark, sf_dir):
+    """The functions in SQL."""
+    C.register(spark)
+    return table(spark, sf_dir, "nation").selectExpr("n_nationkey as id", "md_html(n_name) as html", "md_text(n_name) as text")
+
+
+@query("select p_partkey as doc_id, 'a.md:2:1: [heading-increment] Heading level skipped: expected h2 or lower after h1, found h3' as text, 2 as lsp from part")
+def diagnostic_text(spark, sf_dir):
+    """Diagnostics as lines and editor severities."""
+    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a' || chr(10) || '### b'")
+    return trees.lint(docs).select("doc_id", trees.diagnostic_text("a.md").alias("text"), trees.severity_lsp(F.col("severity")).alias("lsp"))
+
+
+@query("select p_partkey as doc_id, md5(p_name) as a, substr(sha256(p_name), 1, 12) as b from part")
+def hash_text(spark, sf_dir):
+    """Digests by name."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), C.hash_text(F.col("p_name"), "md5").alias("a"), C.hash_text(F.col("p_name"), truncate=12).alias("b"))
+
+
+@query("select p_partkey as doc_id, case when p_size % 2 = 0 then 'true' end as open, case when p_size % 3 = 0 then '-' else p_size::varchar end as size from part")
+def typed_options(spark, sf_dir):
+    """Raw directive options as typed values."""
+    raw = F.create_map(F.lit("open"), F.expr("if(p_size % 2 = 0, 'Yes', 'none')"), F.lit("size"), F.expr("if(p_size % 3 = 0, 'NULL', cast(p_size as string))"))
+    got = C.options_from_raw(raw, flags=("open",), numbers=("size",))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), got.alias("o")).select(
+        "doc_id", F.col("o.open").cast("string").alias("open"), F.coalesce(F.col("o.size").cast("string"), F.lit("-")).alias("size")
+    )

@@ -66,3 +66,14 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quillspark-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, small: int = 64 << 20) -> DataFrame:
+    """``df`` dealt over all cores when its input is too small for Spark to split.
+
+    A file of one row group is one task however many cores wait. Large inputs
+    come back as they are, so there is no shuffle where it would cost something.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if size < small * cores else df

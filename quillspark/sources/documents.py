@@ -25,6 +25,23 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"))
 
 
+def read_notebooks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, source, metadata): one row per notebook; the file's name is the title where none is given."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("nb"))
+    source, meta = parse_notebook(F.col("nb"))
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    named = F.when(F.col("metadata.title") == "Untitled", F.initcap(F.translate(stem, "-_", "  "))).otherwise(F.col("metadata.title"))
+    return rows.select("path", source.alias("source"), meta.alias("metadata")).withColumn("metadata", F.col("metadata").withField("title", named))
+
+
+def read_ast_json(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ast): documents stored as AST JSON, one to a file."""
+    from quillspark.functions.columns import ast_from_json
+
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
+    return rows.select("path", ast_from_json("json").alias("ast"))
+
+
 def has_frontmatter(source: Column) -> Column:
     """True if a delimited block opens the source."""
     return source.rlike(_FRONT)

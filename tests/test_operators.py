@@ -190,3 +190,41 @@ def test_parse_speed():
     start = time.time()
     parse(text, Options())
     assert time.time() - start < 2
+
+
+def test_registries():
+    from quillspark.functions.handlers import DEFAULT_DIRECTIVES, Registry, directive, registry_of
+
+    @directive("a", "b")
+    def box(renderer, node, body):
+        return body
+
+    got = registry_of(box)
+    assert "a" in got and "note" in got and len(got) == len(DEFAULT_DIRECTIVES) + 2
+    with pytest.raises(ValueError):
+        got.register("a", handler=box)
+    with pytest.raises(TypeError):
+        Registry().register("x", handler=None)
+
+
+def test_failing_directive_is_not_hidden(spark):
+    from quillspark.functions.handlers import DEFAULT_DIRECTIVES, Handlers, md_html_with
+
+    handlers = Handlers(DEFAULT_DIRECTIVES.register("bad", handler=lambda r, n, b: 1 / 0))
+    with pytest.raises(Exception, match="division by zero"):
+        spark.createDataFrame([(":::{bad}\nx\n:::",)], "s string").select(md_html_with("s", handlers)).collect()
+
+
+def test_read_notebooks_and_ast_json(spark, tmp_path):
+    (tmp_path / "my-first_book.ipynb").write_text('{"nbformat": 4, "metadata": {}, "cells": []}')
+    rows = S.read_notebooks(spark, str(tmp_path / "*.ipynb")).collect()
+    assert rows[0]["metadata"]["title"] == "My First Book" and rows[0]["source"] == ""
+    (tmp_path / "a.json").write_text(to_json(parse("# a", Options())))
+    assert one(S.read_ast_json(spark, str(tmp_path / "*.json")), C.render_html("ast")) == [('<h1 id="a">a</h1>\n',)]
+
+
+def test_spread_leaves_large_inputs_alone(spark):
+    from quillspark.runtime import spread
+
+    df = spark.range(10).coalesce(1)
+    assert spread(df).rdd.getNumPartitions() > 1 and spread(df, small=0).rdd.getNumPartitions() == 1
