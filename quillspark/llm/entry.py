@@ -7,9 +7,11 @@ from .extraction import op9_extraction
 from .licenses import op2_licenses
 from .mixing import ORACLE_SQL as _MIX
 from .mixing import op4_mixing
+from .neardup import ORACLE_SQL as _VECTORS
 from .neardup import op3_neardup
 from .packing import op1_packing
 from .quality import op5_quality
+from .setjoin import ORACLE_SQL as _JACCARD
 from .setjoin import op7_jaccard
 from .sharding import op10_sharding
 from .urlfilter import ORACLE_SQL as _URLS
@@ -28,4 +30,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE = {"op4_mixing": _MIX, "op8_urls": _URLS}
+ORACLE = {"op3_neardup": _VECTORS, "op4_mixing": _MIX, "op7_jaccard": _JACCARD, "op8_urls": _URLS}

@@ -451,3 +451,16 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
     """Classes of all documents that link at a Jaccard similarity of 0.8."""
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""with recursive w as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+    s as materialized (
+        select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) end s from w),
+    t as materialized (select doc_id, len(s) n, unnest(s) t from s),
+    links as materialized (
+        select a.doc_id a, b.doc_id b from t a join t b on a.t = b.t and a.doc_id <> b.doc_id
+        group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    reach as (select doc_id a, doc_id b from documents union select r.a, l.b from reach r join links l on r.b = l.a),
+    low as (select a, min(b) component_id from reach group by a)
+    select doc_id, len(s)::bigint n_shingles, component_id from s join low on low.a = doc_id"""
