@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -23,13 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers.
 
-    Nothing is sent when PYTHONPATH already holds the checkout; otherwise one
-    small archive of the package's sources goes through Spark's file server.
+    One small archive of the package's sources goes through Spark's file server;
+    on one machine nothing is sent when PYTHONPATH holds the checkout.
     """
     sc = spark.sparkContext
     if getattr(sc, "_quillspark_shipped", False):
         return
-    if str(_ROOT.parent) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master) or str(_ROOT.parent) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         buf = io.BytesIO()
         with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
             for p in sorted(_ROOT.rglob("*.py")):
@@ -65,7 +66,29 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._stash = path
+    spark.sparkContext.__dict__.setdefault("_quillspark_stashes", set()).add(path)
+    return got
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stashed table that nothing reads any more."""
+    path, sc = getattr(df, "_stash", None), df.sparkSession.sparkContext
+    if path:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        sc.__dict__.get("_quillspark_stashes", set()).discard(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete every stashed table of this session, once its results are written; how many there were."""
+    paths = list(spark.sparkContext.__dict__.get("_quillspark_stashes", ()))
+    for path in paths:
+        df = spark.range(0)
+        df._stash = path
+        discard(df)
+    return len(paths)
 
 
 def spread(df: DataFrame, small: int = 64 << 20) -> DataFrame:

@@ -228,3 +228,14 @@ def test_spread_leaves_large_inputs_alone(spark):
 
     df = spark.range(10).coalesce(1)
     assert spread(df).rdd.getNumPartitions() > 1 and spread(df, small=0).rdd.getNumPartitions() == 1
+
+
+def test_stashes_can_be_swept(spark):
+    from quillspark.runtime import discard, stash, sweep
+
+    a, b = stash(spark.range(3), "a"), stash(spark.range(4), "b")
+    assert (a.count(), b.count()) == (3, 4)
+    discard(a)
+    with pytest.raises(Exception):
+        a.count()
+    assert b.count() == 4 and sweep(spark) >= 1 and sweep(spark) == 0
