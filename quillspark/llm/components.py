@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.runtime import stash
+from quillspark.runtime import discard, stash
 
 
 def _toward_min(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
 
     Each step is two grouped minima and joins; minima are taken before the
     shuffle, so a hub costs a row per task. Every round is written to the shared
-    folder, which cuts the lineage. Rounds grow as the logarithm of a
+    folder, which cuts the lineage, and replaces the one before. Rounds grow as the logarithm of a
     component's size.
     """
     edges = stash(
@@ -34,7 +34,8 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         large = large.where("u != v").distinct()
         low = _toward_min(large)
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = stash(small.where("u != v").distinct(), label)
+        before, edges = edges, stash(small.where("u != v").distinct(), label)
+        discard(before)
         row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == known:
             break
