@@ -23,6 +23,9 @@ _HTML_START = [
     re.compile(rf"</?(?:{_BLOCK_TAGS})(?:\s|/?>|$)", re.I),
     re.compile(rf"(?:<[A-Za-z][A-Za-z0-9-]*{_ATTRIBUTE}*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>)\s*$"),
 ]
+# tags that start a block of the seventh kind only below a blank line (fixed values)
+_INLINE_TAGS = frozenset("a em strong span code s del ins mark small sub sup b i u q samp kbd var abbr cite dfn time data bdo bdi wbr".split())
+_TAG_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9-]*)")
 _HTML_END = [re.compile(r"</(?:script|pre|style|textarea)>", re.I), re.compile(r"-->"), re.compile(r"\?>"), re.compile(r">"), re.compile(r"\]\]>")]
 _ATX = re.compile(r"(#{1,6})(?:[ \t]+|$)(.*)")
 _ATX_TAIL = re.compile(r"(?:^|[ \t]+)#+[ \t]*$")
@@ -197,7 +200,7 @@ class BlockParser:
         self.source = source
         doc = Node("Document", end=len(source))
         self.stack: list[_Open] = [_Open(doc)]
-        self.offset, self.lineno = 0, 0
+        self.offset, self.lineno, self.below_blank = 0, 0, True
         lines = source.split("\n")
         if lines and not lines[-1]:
             lines.pop()
@@ -205,7 +208,9 @@ class BlockParser:
             self.lineno += 1
             self.line, self.pos, self.column, self.partial = line, 0, 0, False
             self._measure()
+            empty = self.blank
             self._take()
+            self.below_blank = empty
             self.offset += len(line) + 1
         while self.stack:
             self._close()
@@ -378,7 +383,7 @@ class BlockParser:
                 node = self._add("FencedCode", marker=mark[0], fence_indent=self.indent, info=info.strip() or None, source_start=body)
                 self._push(node, self.indent, mark=mark)
                 return True
-            if first == "<" and not inside and self._html(text, drop, tip if not closed else None):
+            if first == "<" and not inside and self._html(text, drop):
                 return True
             if first in "-*_" and _RULE.match(text):
                 drop()
@@ -453,10 +458,10 @@ class BlockParser:
         self._push(node)
         return True
 
-    def _html(self, text: str, drop, tip) -> bool:
+    def _html(self, text: str, drop) -> bool:
         for k, start in enumerate(_HTML_START):
             if start.match(text):
-                if k == 6 and tip is not None:
+                if k == 6 and ("://" in text or "@" in text or not self.below_blank and _TAG_NAME.match(text)[1].lower() in _INLINE_TAGS):
                     return False
                 drop()
                 block = self._push(self._add("HtmlBlock"), k)

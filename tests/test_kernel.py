@@ -101,6 +101,13 @@ def test_tabs_choose_the_first_when_none_is_selected():
     assert html.count('class="tab-pane active"') == 1 and html.index("tab-pane active") < html.index("<p>x</p>")
 
 
+def test_lone_tags_start_blocks():
+    assert h("a\n<custom>\n*b*") == "<p>a</p>\n<custom>\n*b*\n"
+    assert h("a\n<span>\n*b*") == "<p>a\n<span>\n<em>b</em></p>\n"
+    assert h("a\n\n<span>\n*b*") == "<p>a</p>\n<span>\n*b*\n"
+    assert h('<x y="http://z">\n*b*') == '<p><x y="http://z">\n<em>b</em></p>\n'
+
+
 def test_custom_directive_and_role():
     r = HtmlRenderer(Options(), {"box": lambda r, n, body: f"<box>{body}</box>"}, {"up": lambda r, n: n.data["content"].upper()})
     assert r.render(parse(":::{box}\n{up}`a`\n:::", Options())) == "<box><p>A</p>\n</box>"
