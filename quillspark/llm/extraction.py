@@ -61,9 +61,13 @@ _BLOCK = frozenset(
 )
 # a start of one of these ends an open paragraph
 _ENDS_P = _BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "caption", "title"}
+# attributes: whole ones; else with quoted marks, within a bound; else up to the next mark
+_ATTRIBUTES = (
+    r"(?:(?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+(?=>)|(?:[^>\"']|\"[^\"]{0,1000}\"|'[^']{0,1000}'){0,2000}+(?=>)|[^<>]*(?=>))"
+)
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*>",
+    r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])" + _ATTRIBUTES + r">.*?(?:</(?P=raw)\s*>|$)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<attrs>" + _ATTRIBUTES + r")>|<[!?/][^<>]*>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)

@@ -412,6 +412,24 @@ def test_extraction_cases(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page", ["<a " + '"' * 20_000, '<a "' * 20_000, "<a '\"x" * 20_000, "<" * 50_000, "<nav>" * 3_000 + "</nav>", "<!--" * 20_000, '<p x="<">a</p>' * 5_000, "</" * 30_000])
+def test_extraction_of_hostile_pages_is_fast(page):
+    import time
+
+    from quillspark.llm.extraction import main_text
+
+    start = time.time()
+    main_text(page)
+    assert time.time() - start < 10
+
+
+def test_marks_in_attributes():
+    from quillspark.llm.extraction import main_text
+
+    assert main_text('<p data-x="a < b > c">one two</p>') == "one two"
+    assert main_text('<p data-x="a>one two</p>').endswith("one two")
+
+
 def test_best_region_is_the_maximum():
     from quillspark.llm.extraction import best_region
 
