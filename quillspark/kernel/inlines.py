@@ -181,7 +181,7 @@ class Inliner:
         add = out.append
         i, n, o = 0, len(text), self.options
         dead = 0  # openers before this place in ``brackets`` may not make links
-        ticks: dict[int, int] = {}
+        ticks: dict = {}  # runs and ends that are known not to come any more
         while i < n:
             c = text[i]
             if starts:
@@ -270,12 +270,13 @@ class Inliner:
                 i += 1
                 dead = min(dead, len(brackets))
             elif c == "<":
+                m = None
                 if m := _URI.match(text, i):
                     url = m[1]
                     add(self._node("Link", [self._node("Text", content=url)], url=url.replace("\\", "%5C").replace("[", "%5B").replace("]", "%5D")))
                 elif m := _EMAIL.match(text, i):
                     add(self._node("Link", [self._node("Text", content=m[1])], url="mailto:" + m[1]))
-                elif m := _HTML.match(text, i):
+                elif self._may_close(text, i, ticks) and (m := _HTML.match(text, i)):
                     add(self._node("HtmlInline", html=m[0]))
                 else:
                     add(self._node("Text", content="<"))
@@ -296,6 +297,16 @@ class Inliner:
                 i += 1
         return self._emphasis(out, marks, 0)
 
+    @staticmethod
+    def _may_close(text: str, i: int, none: dict) -> bool:
+        """False if a comment, instruction or section that starts here has no end; that is remembered."""
+        for start, end in (("<!--", "-->"), ("<?", "?>"), ("<![CDATA[", "]]>")):
+            if text.startswith(start, i):
+                if end not in none and text.find(end, i) < 0:
+                    none[end] = i
+                return end not in none
+        return True
+
     def _close_ticks(self, text: str, at: int, run: int, none: dict[int, int]) -> int:
         """Where a run of exactly so many backticks starts, or -1; misses are remembered."""
         if none.get(run, len(text) + 1) <= at:

@@ -133,7 +133,7 @@ def test_depth_is_limited(source):
         parse(source, Options())
 
 
-@pytest.mark.parametrize("source", ["[" * 50_000, "*a " * 20_000, "`" * 20_000 + "a", "<" * 50_000, "![" * 20_000, "a_" * 30_000])
+@pytest.mark.parametrize("source", ["[" * 50_000, "*a " * 20_000, "`" * 20_000 + "a", "<" * 50_000, "![" * 20_000, "a_" * 30_000, "a " + "<!--" * 30_000, "a " + "<?" * 30_000, "a <b" + " c" * 30_000, "[a](" * 20_000, "[a]: <" * 10_000, "| a " * 20_000 + "\n" + "|-" * 20_000])
 def test_hostile_inputs_are_fast(source):
     start = time.time()
     h(source, "all")
