@@ -423,11 +423,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     )
     near = stash(components(_candidates(stash(found, "shared")), "candidates"), "near")
     near = near.select(F.col("node").alias("sig"), F.col("component").alias("unit"))
-    sizes = near.groupBy("unit").agg(F.count(F.lit(1)).alias("size"))
-    cut = F.ceil(F.col("size") / F.lit(float(block))).cast("int")
+    # only groups of more than a block need cutting: few rows, written first so that the join knows their size
+    large = near.groupBy("unit").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
+    large = stash(large.select("unit", F.ceil(F.col("size") / F.lit(float(block))).cast("int").alias("blocks")), "large")
+    cut = F.coalesce("blocks", F.lit(1))
     own = F.pmod(F.xxhash64("sig"), F.col("cut")).cast("int")
     other = F.explode(F.when(F.col("cut") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("cut") - 1), lambda x: x != F.col("own"))))
-    placed = near.join(sizes, "unit").withColumn("cut", cut).withColumn("own", own).withColumn("other", other)
+    placed = near.join(large, "unit", "left").withColumn("cut", cut).withColumn("own", own).withColumn("other", other)
     placed = placed.select("sig", "unit", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     wanted = sc.broadcast(_filter_of(near.select("sig")))
     texts = source.select("text").mapInArrow(_texts_of(wanted), "sig bigint, packed binary")
