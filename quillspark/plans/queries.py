@@ -265,7 +265,7 @@ def json_round_trip(spark, sf_dir):
 def incremental(spark, sf_dir):
     """A re-parse after an edit equals a full parse."""
     para = lambda x: f"'# ' || p_name || chr(10) || chr(10) || 'one' || chr(10) || chr(10) || '{x}' || chr(10) || chr(10) || 'three' || chr(10) || chr(10) || '## four' || chr(10) || p_brand || chr(10)"
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(para("two")).alias("old"), F.expr(para("two *and* more")).alias("new"), (F.length("p_name") + 2 + 2 + 5 + 3).alias("at"))
+    rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(para("two")).alias("old"), F.expr(para("two *and* more")).alias("new"), (F.length("p_name") + 2 + 2 + 5 + 3).alias("at")))
     rows = rows.select("doc_id", "new", C.md_parse("old").alias("previous"), "at", F.lit(11).alias("added"))
     got = parse_incremental("new", "previous", "at", "at", "added")
     return rows.select("doc_id", (C.ast_json(got) == C.ast_json(C.md_parse("new"))).alias("same"))
