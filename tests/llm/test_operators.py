@@ -173,6 +173,51 @@ def test_near_duplicates_equal_brute_force(spark, vectors):
         assert (r["n_links"], r["component_id"], r["kept"]) == (links[i].sum(), root(i), root(i) == i)
 
 
+class LossyGraph:
+    """Finds node 0 and nothing else, however wide the beam."""
+
+    def __init__(self, x, seeds):
+        self.x = np.ascontiguousarray(x, np.float32)
+
+    def search(self, q, beam):
+        return np.zeros((len(q), 1), np.int32), (q @ self.x[:1].T).astype(np.float32)
+
+
+@pytest.mark.parametrize("audited", [0, 64])
+def test_beam_needs_evidence(monkeypatch, audited):
+    from quillspark.llm import neardup
+
+    monkeypatch.setattr(neardup, "Graph", LossyGraph)
+    x = np.random.default_rng(5).normal(size=(1000, 16))
+    ids = np.arange(1000)
+    shard = neardup.Shard(ids, np.ones(1000, np.int64), x, 0.95)
+    if audited:  # queries without links are no evidence
+        shard.audit(ids[:audited], x[:audited])
+    for k in range(500, 600):
+        assert shard.links(ids[k : k + 1] + 10**6, x[k : k + 1] + 1e-3)[1].tolist() == [k]
+
+
+def test_beam_is_settled_by_pairs_too(monkeypatch):
+    from quillspark.llm import neardup
+
+    x = np.random.default_rng(6).normal(size=(3000, 16))
+    x[:600] = x[0] + 1e-3 * x[:600]
+
+    class LosesPairs(LossyGraph):
+        def search(self, q, beam):
+            score = q @ self.x[:600].T
+            score, nodes = np.pad(score, ((0, 0), (0, 1)), constant_values=-1), np.pad(np.tile(np.arange(600), (len(q), 1)), ((0, 0), (0, 1)))
+            return nodes, score
+
+    monkeypatch.setattr(neardup, "Graph", LosesPairs)
+    ids = np.arange(3000)
+    shard = neardup.Shard(ids, np.ones(3000, np.int64), x, 0.95)
+    shard.audit(ids[:600], x[:600])
+    shard.audit(ids[600:604] + 10**6, x[600:604] + 1e-4)  # under 1 % of the queries
+    r, n = shard.links(ids[700:800] + 10**6, x[700:800] + 1e-4)
+    assert len(n) == 100
+
+
 def test_graph_search_recall():
     from quillspark.llm.hnsw import Graph
 
