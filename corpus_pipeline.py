@@ -9,7 +9,8 @@ the columns of ``documents``.
   documents that link at a Jaccard similarity of 0.8 over five-word shingles.
   Documents without words link with nothing and stay; rows of one ``doc_id`` are
   one document and stay or go together; a null ``doc_id`` stays.
-* Mixture takes documents at the calibrated rate of their cell.
+* Mixture takes documents at the calibrated rate of their cell; the cells of the
+  highest rates, a hundredth of the tokens at most, are taken whole and set no scale.
 * Packing returns the pieces of sequences (see ``quillspark.llm.packing``).
 """
 
@@ -25,6 +26,9 @@ from quillspark.llm.quality import score_quality
 from quillspark.llm.setjoin import jaccard_classes
 from quillspark.runtime import stash, table
 
+#: share of the tokens whose cells do not set the scale of the mixture
+SPARE = 0.01
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
@@ -41,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the target marginals of source, language and topic."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")
-    return mix(rows).where(F.col("mix_selected")).select("row.*")
+    return mix(rows, spare=SPARE).where(F.col("mix_selected")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ The fitted weight over the cell's tokens is the rate at which its documents are
 taken; rates are scaled so that the largest is 1 and a document stays when the
 hash of its id is below its cell's rate. Nothing is taken twice.
 
+With ``spare``, cells of the highest rates that hold at most this share of the
+tokens together do not set the scale: they are taken whole, and the others are
+raked again around them. The pipeline mixes so; the query ``op4_mixing`` does not.
+
 Cells are grouped before anything is shuffled, so a source that holds a third of
 the rows is a row of the cell table like any other. The cells go to the documents
 by a join whose strategy Spark picks by their measured size.
@@ -51,9 +55,9 @@ def unit_hash(key: Column) -> Column:
 
 
 def fit_cells(
-    cells: DataFrame, dims: tuple[str, ...], rounds: int, smoothing: float, targets: dict[str, DataFrame] | None
+    cells: DataFrame, dims: tuple[str, ...], rounds: int, smoothing: float, targets: dict[str, DataFrame] | None, spare: float = 0.0
 ) -> DataFrame:
-    """Rake ``cells(*dims, tokens)``; adds ``rate`` in (0, 1]."""
+    """Rake ``cells(*dims, tokens)``; adds ``rate`` in (0, 1]. See the module on ``spare``."""
     everything = Window.partitionBy(F.lit(0))
     fitted = cells.withColumn("w", F.col("tokens").cast("double"))
     total = F.sum("tokens").over(everything)
@@ -66,15 +70,31 @@ def fit_cells(
             goal = goal.select(d, (F.col("p") / F.sum("p").over(everything)).alias(f"goal_{d}"))
             fitted = fitted.join(goal, d)
     fitted = stash(fitted.withColumn("total", total.cast("double")), "goals")
+    fitted = _rake(fitted, dims, rounds)
+    rate = F.col("w") / F.col("tokens")
+    fitted = stash(fitted.withColumn("rate", rate), "cells")
+    if not spare:
+        return fitted.select(*dims, "tokens", "w", (F.col("rate") / F.max("rate").over(everything)).alias("rate"))
+    # the highest rate once the cells above it hold more than the spared share
+    above = F.sum("tokens").over(everything.orderBy(F.desc("rate")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    fitted = fitted.withColumn("above", above)
+    fitted = fitted.withColumn("scale", F.max(F.when(F.col("above") > spare * F.col("total"), F.col("rate"))).over(everything))
+    fitted = stash(_rake(stash(fitted, "scaled"), dims, rounds, F.col("tokens") * F.col("scale")), "cells")
+    taken = F.least(F.col("w") / F.col("tokens") / F.col("scale"), F.lit(1.0))
+    return fitted.select(*dims, "tokens", "w", F.when(F.col("scale") > 0, taken).otherwise(F.lit(0.0)).alias("rate"))
+
+
+def _rake(fitted: DataFrame, dims: tuple[str, ...], rounds: int, cap: Column | None = None) -> DataFrame:
+    """``w`` scaled to each dimension's goal in turn, and cut to ``cap`` after each round."""
     for _ in range(rounds):
         for d in dims:
             have = F.sum("w").over(Window.partitionBy(d))
             fitted = fitted.withColumn(
                 "w", F.when(have > 0, F.col("w") * F.col(f"goal_{d}") * F.col("total") / have).otherwise(F.lit(0.0))
             )
-    rate = F.col("w") / F.col("tokens")
-    fitted = stash(fitted.select(*dims, "tokens", "w", rate.alias("rate")), "cells")
-    return fitted.withColumn("rate", F.col("rate") / F.max("rate").over(everything))
+        if cap is not None:
+            fitted = fitted.withColumn("w", F.least("w", cap))
+    return fitted
 
 
 def mix(
@@ -84,6 +104,7 @@ def mix(
     smoothing: float = SMOOTHING,
     targets: dict[str, DataFrame] | None = None,
     key: str = "doc_id",
+    spare: float = 0.0,
 ) -> DataFrame:
     """``docs`` with their dimensions, ``mix_tokens``, ``mix_rate`` and ``mix_selected``.
 
@@ -100,7 +121,7 @@ def mix(
     cells = stash(cells, "mixcells")
     if targets:
         targets = {named[d]: t for d, t in targets.items()}
-    fitted = fit_cells(cells, tuple(named.values()), rounds, smoothing, targets)
+    fitted = fit_cells(cells, tuple(named.values()), rounds, smoothing, targets, spare)
     fitted = fitted.select(*named.values(), F.col("rate").alias("mix_rate"))
     return rows.join(fitted, list(named.values())).withColumn("mix_selected", unit_hash(F.col(key)) < F.col("mix_rate"))
 

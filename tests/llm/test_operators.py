@@ -276,6 +276,13 @@ def test_raking_meets_given_targets(spark):
     assert max(r["rate"] for r in got) == 1.0
 
 
+def test_one_stray_document_does_not_scale_the_mixture(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    stray = spark.createDataFrame([(10**9, "one word", "xx", "stray", 8)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [corpus_pipeline.mixture(spark, d, DATA).count() for d in (docs, docs.unionByName(stray))]
+    assert kept[1] > 0.95 * kept[0] and kept[0] < docs.count()
+
+
 def test_sampling_follows_rates(spark):
     rows = QUERIES["op4_mixing"](spark, DATA).collect()
     expected = sum(r["rate"] for r in rows)
