@@ -61,16 +61,14 @@ _BLOCK = frozenset(
 )
 # a start of one of these ends an open paragraph
 _ENDS_P = _BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "caption", "title"}
-# attributes: whole ones; else with quoted marks, within a bound; else up to the next mark
-_ATTRIBUTES = (
-    r"(?:(?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+(?=>)|(?:[^>\"']|\"[^\"]{0,1000}\"|'[^']{0,1000}'){0,2000}+(?=>)|[^<>]*(?=>))"
-)
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])" + _ATTRIBUTES + r">.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<attrs>" + _ATTRIBUTES + r")>|<[!?/][^<>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)|(?P<other>[!?/]))")
+_COMMENT_END, _OTHER, _CDATA = re.compile(r"--!?>"), re.compile(r"[^<>]*>"), "<![CDATA["
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
+# attributes without marks in them, up to the end of the tag
+_PLAIN = re.compile(r"(?:=\s*\"[^\"<]*\"|=\s*'[^'<]*'|[^>\"'<])*+>")
+# the end of a tag, or one attribute; of a quoted value only its opening quote
+_STEP = re.compile(r"[\s/]*+(?:(?P<close>>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:(?P<quote>[\"'])|[^\s>]*+))?)")
+_ATTR = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*+)))?")
 
 
 def _is_side(name: str, attrs: str) -> bool:
@@ -91,16 +89,63 @@ def _is_side(name: str, attrs: str) -> bool:
     return False
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of every piece of markup; names of end tags start with a slash, others have none.
+
+    Linear: a scan that meets the end of the page marks its steps, and none is taken twice.
+    """
+    last, dead, at = {q: page.rfind(q) for q in "\"'>"}, set(), 0
+
+    def close(p: int) -> int:
+        """Where the tag ends whose attributes start at ``p``; without a matching quote at the next mark."""
+        if m := _PLAIN.match(page, p):
+            return m.end()
+        first, steps = p, []
+        while p not in dead and (m := _STEP.match(page, p)):
+            if m["close"]:
+                return m.end()
+            steps.append(p)
+            p = m.end()
+            if m["quote"]:
+                if p > last[m["quote"]]:
+                    break
+                p = page.find(m["quote"], p) + 1
+        dead.update(steps)
+        return page.find(">", first) + 1 if first <= last[">"] else 0
+
+    while m := _OPEN.search(page, at):
+        start, at, name, attrs = m.start(), m.end(), "", ""
+        if m["comment"]:
+            at = e.end() if (e := _COMMENT_END.search(page, at)) else len(page)
+        elif m["other"]:
+            if page[start : start + len(_CDATA)].upper() == _CDATA:
+                end = page.find(">", at) + 1 if at <= last[">"] else 0
+            else:
+                end = e.end() if (e := _OTHER.match(page, at)) else 0
+            if not end:
+                continue
+            at = end
+        else:
+            end = close(at)
+            if not end:
+                continue
+            name, attrs, follow = m["end"] + m["name"].lower(), page[at : end - 1], page[at]
+            at = end
+            if name in _RAW_END and (follow in "/>" or follow.isspace()):
+                at, name = e.end() if (e := _RAW_END[name].search(page, at)) else len(page), ""
+        yield start, at, name, attrs
+
+
 def sequence(page: str) -> list[tuple[str, str]]:
     """(tag, text) tokens: a tag name, ``side`` for a whole side element, or '' and a stretch of text."""
     tokens: list[tuple[str, str, str]] = []
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            tokens.append(("", "", page[at : m.start()]))
-        at = m.end()
-        if m["name"]:
-            tokens.append((m["end"] + m["name"].lower(), m["attrs"] or "", ""))
+    for start, end, name, attrs in _tags(page):
+        if start > at:
+            tokens.append(("", "", page[at:start]))
+        at = end
+        if name:
+            tokens.append((name, attrs, ""))
     if at < len(page):
         tokens.append(("", "", page[at:]))
     closers: dict[str, list[int]] = {}

@@ -482,6 +482,32 @@ def test_marks_in_attributes():
     assert main_text('<p data-x="a>one two</p>').endswith("one two")
 
 
+@pytest.mark.parametrize("value", ["{'a': '<b>'} " * 500, "<" * 5_000, "x < y, hidden class=ad > " * 3_000])
+def test_long_values_with_marks_stay_in_their_tag(value):
+    from quillspark.llm.extraction import main_text
+
+    assert main_text(f'<p data-x="{value}">one two</p>') == "one two"
+    menu = f'<nav data-x="{value}">menu words here</nav><div data-x="{value}" class="ad">buy this</div>'
+    assert main_text(f"<body>{menu}<p>one two three</p></body>") == "one two three"
+
+
+def test_unclosed_cdata_ends_at_the_next_mark():
+    from quillspark.llm.extraction import main_text
+
+    assert main_text("<p>one</p><![CDATA[ x ><p>two three</p>") == "one\ntwo three"
+
+
+@pytest.mark.parametrize("page", ['<a x=">" ' * 20_000, "<a x='\">\" " * 20_000, '<a x="<a y=\'> ' * 20_000, "<a b=" * 30_000 + ">", "<![CDATA[" * 20_000])
+def test_extraction_of_unfinished_attributes_is_fast(page):
+    import time
+
+    from quillspark.llm.extraction import main_text
+
+    start = time.time()
+    main_text(page)
+    assert time.time() - start < 10
+
+
 def test_best_region_is_the_maximum():
     from quillspark.llm.extraction import best_region
 
