@@ -133,6 +133,7 @@ CASES = [
     _case("excerpt_cut", ("documents", "doc_id"), f"'x ' || {PROSE}", "", make=lambda c: C.md_excerpt(c, 120), out="text"),
     _case("meta_description", ("documents", "doc_id"), f"'x ' || {PROSE}", "", make=C.md_meta, out="text"),
     _case("slugify", ("documents", "doc_id"), f"substring({PROSE}, 1, 60)", "", make=C.slugify, out="slug"),
+    _case("slugify_text", ("documents", "doc_id"), PROSE, "", make=C.slugify, out="slug"),
     _case("html_escape", ("pages", "page_id"), "html", "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')", make=C.html_escape),
     _case("escape_html", ("conversations", "conv_id * 1000 + turn"), "text", "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')", make=C.escape_html),
     _case("hash_content", ("documents", "doc_id"), "text", "sha256(text)", make=C.hash_content, out="hash"),
@@ -163,4 +164,5 @@ def oracles() -> dict[str, str]:
     )
     kept = f"lower(trim(substring({PROSE}, 1, 60)))"
     out["slugify"] = f"select doc_id as id, trim(regexp_replace(regexp_replace({kept}, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '[-\\s]+', '-', 'g'), '-') as slug from documents"
+    out["slugify_text"] = f"select doc_id as id, trim(regexp_replace(regexp_replace(lower(trim({PROSE})), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '[-\\s]+', '-', 'g'), '-') as slug from documents"
     return out

@@ -239,3 +239,12 @@ def test_stashes_can_be_swept(spark):
     with pytest.raises(Exception):
         a.count()
     assert b.count() == 4 and sweep(spark) >= 1 and sweep(spark) == 0
+
+
+def test_slugify_text_reaches_the_end(spark, sf):
+    from quillspark.plans.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    slugs = {r["id"]: r["slug"] for r in QUERIES["slugify_text"](spark, sf).collect()}
+    long = [i for i, t in texts.items() if len(t) > 1000 and "-" in slugs[i]]
+    assert long and all(len(slugs[i]) > 0.5 * len(texts[i]) for i in long)
