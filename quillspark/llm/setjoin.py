@@ -12,11 +12,12 @@ The method is exact (up to 64-bit hashes):
    rare shingles singly and counts how many a pair shares, so a pair needs its
    whole combination of k to become a candidate. A shingle of more than
    ``RARE`` sets makes no pairs: it goes back to the sets' lists of common
-   shingles, which are joined as combinations (see ``_candidates``).
+   shingles; no combination is a key there: sets that share a leading one of those
+   singly become a star (see ``_candidates``).
 3. Components of candidates are the units of verification; a component of more
    than ``block`` sets is cut into blocks, and every two blocks are one unit. A
    unit indexes prefixes anew by its own frequencies: one shared rare shingle, or
-   a combination of ``combine`` frequent ones, makes a candidate, whose overlap is
+   enough frequent ones, counted singly, makes a candidate, whose overlap is
    then counted. Sets already connected are not compared. Units give a spanning
    forest of the links, never all pairs.
 4. Components of the forest are the classes.
