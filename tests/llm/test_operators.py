@@ -300,6 +300,17 @@ def test_quality_on_held_out_labels(spark):
     assert len(held) > 50 and sum(p == y for p, y in held) / len(held) >= 0.95
 
 
+def test_repeated_rows_of_a_label_are_one_training_row(spark):
+    from quillspark.llm.quality import _train
+
+    rows = [(0, f"text {i} " + "a" * (i % 7)) for i in range(300)] + [(i, f"other {i}") for i in range(1, 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    x, y = _train(docs, labels, "doc_id", "quality", 20)
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert 0 in ids and len(x) == len(y) == len(ids) and y.sum() == sum(i % 2 for i in ids)
+
+
 def test_bradley_terry_orders_pairs():
     from quillspark.llm.quality import fit
 
