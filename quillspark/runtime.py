@@ -45,11 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Where the setting is absent, as in tests on one machine, a fresh temporary
-    folder takes its place.
+    folder takes its place; a cluster without it is an error, since its machines
+    see no folder of each other's.
     """
     sc = spark.sparkContext
     got = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         got = getattr(sc, "_quillspark_dir", None)
         if got is None:
             got = sc._quillspark_dir = "file://" + tempfile.mkdtemp(prefix="quillspark-shared-")
