@@ -428,15 +428,48 @@ def test_url_rules(spark):
         assert r["verdict"] == max(fits)[2] if fits else r["verdict"] in ("allow", "block")
 
 
-def test_template_tree_merges_and_rejects(spark):
+def verdicts(spark, urls):
     from quillspark.llm.urlfilter import judge
 
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    return dict(zip(urls, judge(df).orderBy("page_id").collect()))
+
+
+def test_template_tree_merges_and_rejects(spark):
     url = lambda host, k, n: [f"http://{host}/{k}/{i}" for i in range(n)]
-    rows = url("bad.net", "es", 40) + url("bad.net", "fr", 40) + url("bad.net", "en", 5) + url("mixed.com", "en", 30) + [f"http://many.org/s{chr(97 + i)}{chr(97 + i)}/x" for i in range(20)]
-    got = {u: r for u, r in zip(rows, judge(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")).orderBy("page_id").collect())}
-    assert got["http://bad.net/es/1"]["template"] == got["http://bad.net/fr/1"]["template"] == "/*/{n}//"
-    assert got["http://bad.net/es/1"]["purity"] > 0.9 and got["http://mixed.com/en/1"]["verdict"] == "allow"
-    assert got["http://many.org/saa/x"]["template"].startswith("/*/x") and got["http://bad.net/en/1"]["verdict"] == "allow"
+    got = verdicts(spark, url("bad.net", "es", 40) + url("bad.net", "fr", 40) + url("bad.net", "en", 5) + url("mixed.com", "en", 30) + url("fine.org", "en", 5))
+    # 80 blocked of 110 labelled; the host has 80 of 80
+    host = (80 + 2 * 80 / 110) / 82
+    for k in ("es", "fr", "en"):  # no label sets /en/ apart from its siblings
+        r = got[f"http://bad.net/{k}/1"]
+        assert r["template"] == "/*/{n}" and r["purity"] == round((80 + 2 * host) / 82, 6) and r["verdict"] == "block"
+    assert got["http://bad.net/en/1"]["rule"] is None
+    assert (got["http://fine.org/en/1"]["purity"], got["http://fine.org/en/1"]["verdict"]) == (round(80 / 110, 6), "allow")
+    assert got["http://mixed.com/en/1"]["purity"] < 0.1
+
+
+def test_branches_that_differ_stay_apart(spark):
+    rules = [f"http://a.example.com/{k}/{i}" for k in ("en", "de", "it") for i in range(30)]  # /en/ is blocked, the others are not
+    got = verdicts(spark, rules)
+    assert got["http://a.example.com/en/1"]["template"] == "/en/{n}" and got["http://a.example.com/en/1"]["purity"] > 0.9
+    assert got["http://a.example.com/de/1"]["purity"] < 0.4
+
+
+@pytest.mark.parametrize("times", [1, 7])
+@pytest.mark.parametrize("depth", [0, 1, 3, 6])
+def test_wildcards_at_every_depth_and_size(spark, depth, times):
+    head = "".join(f"/d{chr(97 + k)}" for k in range(depth))
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    urls = [f"http://h.org{head}/s{name(i)}/x?{k}" for i in range(40) for k in range(times)] + [f"http://h.org{head}/hot/x?{k}" for k in range(60 * times)]
+    got = verdicts(spark, urls)
+    apart = depth or "hot"  # siblings by the first segment merge where no label sets them apart
+    assert {r["template"] for u, r in got.items() if "/hot/" in u} == ({"/*" + head[3:] + "/hot/x"} if apart != "hot" else {"/*/x"})
+    assert {r["template"] for u, r in got.items() if "/hot/" not in u} == ({"/*" + head[3:] + "/*/x"} if apart != "hot" else {"/*/x"})
+
+
+def test_few_children_are_no_crowd(spark):
+    got = verdicts(spark, [f"http://h.org/a/s{chr(97 + i)}" for i in range(7)] + [f"http://h.org/a/t{k}" for k in "x" * 200])
+    assert {r["template"] for r in got.values()} == {"/*/tx", *(f"/*/s{chr(97 + i)}" for i in range(7))}
 
 
 # -- extraction -----------------------------------------------------------
