@@ -176,6 +176,8 @@ def test_near_duplicates_equal_brute_force(spark, vectors):
 class LossyGraph:
     """Finds node 0 and nothing else, however wide the beam."""
 
+    layers, entry, level = {}, [0], np.empty(0)
+
     def __init__(self, x, seeds):
         self.x = np.ascontiguousarray(x, np.float32)
 
@@ -183,39 +185,83 @@ class LossyGraph:
         return np.zeros((len(q), 1), np.int32), (q @ self.x[:1].T).astype(np.float32)
 
 
-@pytest.mark.parametrize("audited", [0, 64])
-def test_beam_needs_evidence(monkeypatch, audited):
+def test_a_graph_that_misses_links_is_not_trusted(monkeypatch):
     from quillspark.llm import neardup
 
     monkeypatch.setattr(neardup, "Graph", LossyGraph)
     x = np.random.default_rng(5).normal(size=(1000, 16))
-    ids = np.arange(1000)
-    shard = neardup.Shard(ids, np.ones(1000, np.int64), x, 0.95)
-    if audited:  # queries without links are no evidence
-        shard.audit(ids[:audited], x[:audited])
-    for k in range(500, 600):
-        assert shard.links(ids[k : k + 1] + 10**6, x[k : k + 1] + 1e-3)[1].tolist() == [k]
+    shard = neardup.Shard(np.arange(1000), np.ones(1000, np.int64), x, 0.95).settle()
+    assert shard.beam is None and shard.evidence[0] == 1000
+    q = x[500:600] + 1e-3
+    assert shard.links(q / np.linalg.norm(q, axis=1, keepdims=True))[1].tolist() == list(range(500, 600))
 
 
-def test_beam_is_settled_by_pairs_too(monkeypatch):
+def test_beam_widens_until_the_audits_pass(monkeypatch):
+    from quillspark.llm import neardup
+
+    class Narrow(LossyGraph):
+        """Loses every fifth query below a beam of 64."""
+
+        def search(self, q, beam):
+            score = q @ self.x.T
+            best = np.argsort(-score, axis=1)[:, :beam]
+            score = np.take_along_axis(score, best, 1)
+            if beam < 64:
+                score[::5] = -1
+            return best, score
+
+    monkeypatch.setattr(neardup, "Graph", Narrow)
+    x = np.random.default_rng(5).normal(size=(2000, 16))
+    shard = neardup.Shard(np.arange(2000), np.ones(2000, np.int64), x, 0.95).settle()
+    assert shard.beam == 64 and shard.recall[0] >= 0.995
+
+
+def test_real_links_are_audited_too(monkeypatch):
     from quillspark.llm import neardup
 
     x = np.random.default_rng(6).normal(size=(3000, 16))
-    x[:600] = x[0] + 1e-3 * x[:600]
+    x[1:2900:2] = x[:2899:2] * (1 + 1e-3) + 1e-3  # pairs
+
+    class OnlySelf(LossyGraph):
+        """Finds the nearest node alone: all planted queries, none of the links with others."""
 
-    class LosesPairs(LossyGraph):
         def search(self, q, beam):
-            score = q @ self.x[:600].T
-            score, nodes = np.pad(score, ((0, 0), (0, 1)), constant_values=-1), np.pad(np.tile(np.arange(600), (len(q), 1)), ((0, 0), (0, 1)))
-            return nodes, score
-
-    monkeypatch.setattr(neardup, "Graph", LosesPairs)
-    ids = np.arange(3000)
-    shard = neardup.Shard(ids, np.ones(3000, np.int64), x, 0.95)
-    shard.audit(ids[:600], x[:600])
-    shard.audit(ids[600:604] + 10**6, x[600:604] + 1e-4)  # under 1 % of the queries
-    r, n = shard.links(ids[700:800] + 10**6, x[700:800] + 1e-4)
-    assert len(n) == 100
+            score = q @ self.x.T
+            best = score.argmax(1)[:, None]
+            return np.pad(best, ((0, 0), (0, 1)), constant_values=-1), np.pad(np.take_along_axis(score, best, 1), ((0, 0), (0, 1)), constant_values=-1)
+
+    monkeypatch.setattr(neardup, "Graph", OnlySelf)
+    shard = neardup.Shard(np.arange(3000), np.ones(3000, np.int64), x, 0.95).settle()
+    assert shard.evidence[1] > 800 and shard.beam is None
+
+
+def test_planted_queries_are_within_the_threshold():
+    from quillspark.llm.neardup import planted
+
+    x = np.random.default_rng(7).normal(size=(500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = planted(x, np.arange(500), 0.95)
+    cos = (q * x).sum(1)
+    assert np.allclose(np.linalg.norm(q, axis=1), 1) and cos.min() >= 0.95 - 1e-9 and cos.min() < 0.952 and cos.max() > 0.998
+
+
+def test_packed_shards_answer_alike(spark):
+    from quillspark.llm import neardup
+
+    x = clusters(2000)
+    shard = neardup.Shard(np.arange(2000), np.ones(2000, np.int64), x, 0.95).settle()
+    again = neardup.Shard.unpack(shard.pack(), 0.95)
+    u = x[:200] / np.linalg.norm(x[:200], axis=1, keepdims=True)
+    assert again.beam == shard.beam and all((a == b).all() for a, b in zip(shard.links(u), again.links(u)))
+
+
+def test_graphs_report_their_audits(spark, vectors):
+    from quillspark.llm import neardup
+
+    df = spark.read.parquet(f"{vectors[1]}/embeddings.parquet").selectExpr("vec_id node", "1L weight", "cast(embedding as array<double>) v")
+    rows = neardup.graphs(df, shards=3).collect()
+    assert sorted(r["shard"] for r in rows) == [0, 1, 2] and sum(r["size"] for r in rows) == len(vectors[0])
+    assert all(r["planted"] == min(r["size"], neardup.AUDIT) and min(r["planted_recall"], r["real_recall"]) >= neardup.RECALL for r in rows)
 
 
 def test_graph_search_recall():
