@@ -1,10 +1,13 @@
 """Operator 6: approximate nearest neighbours with learned partitions.
 
-Fit, on at most ``SAMPLE`` vectors chosen by hashed id: a graph of each vector's
+Fit, on a sample of vectors chosen by hashed id (a ``FIT_SHARE``-th of the table,
+``SAMPLE`` at least and ``SAMPLE_MOST`` at most): a graph of each vector's
 ``GRAPH_K`` nearest neighbours is cut into balanced parts (growing from spread
 seeds, then moving vertices to the part most of their neighbours are in while it
 has room), and a softmax classifier with one hidden layer learns the parts from
-the vectors.
+the vectors. There is a part for every ``SLAB`` rows of the table, ``PARTS`` at
+least and one for ``PART_SAMPLE`` sampled vectors at most, so a part does not grow
+with the table until the sample's bound is reached.
 
 Index: every vector goes to the classifier's most probable part. A part with more
 than ``SLAB`` rows is dealt to slabs, so one part that holds a third of all
@@ -13,14 +16,16 @@ vectors is many tasks. Queries go to the most probable parts that reach
 double precision and returns its best; the best of all slabs are the result.
 
 ``probes`` is the smallest number of parts that finds ``RECALL`` of the true
-neighbours of an audit sample of queries within the fit's sample; the audit can
-choose all parts. Equal vectors share a product to the last bit, since every
+neighbours of ``AUDIT`` queries among all rows of the table, by a full scan for
+these queries; the audit can choose all parts, and ``Index.recall`` is what it
+found. Equal vectors share a product to the last bit, since every
 product is summed in the same order; of equal products smaller ids come first.
 
 Defined results: vectors that are null, zero, of another length than the most
 common one, or hold null or non-finite components, and rows without id, take no part as
 query or candidate; with fewer candidates than asked all are returned; repeated rows are
-candidates each; an empty table gives no rows; other columns are ignored.
+candidates each, but an id is one query: of several vectors the smallest in array order
+asks, and no row of its id is a candidate; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +40,12 @@ from pyspark.sql import functions as F
 
 from quillspark.runtime import ship, stash, table
 
-#: vectors a fit may take to the driver (with 64 components: 4 MB)
-SAMPLE = 8_192
-#: queries of the fit's audit
-AUDIT = 512
+#: vectors of a fit (on the driver; with 64 components 4 MB at least, 17 MB at most)
+SAMPLE, SAMPLE_MOST, FIT_SHARE = 8_192, 32_768, 64
+#: queries of the audit
+AUDIT = 256
 GRAPH_K = 10
-PARTS = 16
+PARTS, PART_SAMPLE = 16, 32
 HIDDEN = 64
 SLAB = 8192
 RECALL = 0.95
@@ -142,25 +147,11 @@ class Router:
         return cls(*w)
 
 
-def fit_index(x: np.ndarray, parts: int, k: int, recall: float) -> tuple[Router, int]:
-    """The router and how many parts a query must probe."""
+def fit_router(x: np.ndarray, parts: int) -> Router:
+    """The classifier of at most ``parts`` balanced parts of these vectors."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    parts = max(1, min(parts, len(x) // 32))
-    part = balanced_parts(unit, neighbour_graph(unit, GRAPH_K), parts)
-    router = Router.fit(x, part, parts)
-    where = router.scores(x).argmax(1)
-    asked = np.arange(0, len(x), max(1, len(x) // AUDIT))
-    s = x[asked] @ x.T
-    s[np.arange(len(asked)), asked] = -np.inf
-    k = min(k, len(x) - 1)
-    if k < 1:
-        return router, parts
-    true = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    order = np.argsort(-router.scores(x[asked]), axis=1)
-    rank = np.argsort(order, axis=1)  # when each part is probed
-    needed = np.take_along_axis(rank, where[true], axis=1)
-    probes = next((p for p in range(1, parts + 1) if (needed < p).mean() >= recall), parts)
-    return router, probes
+    parts = max(1, min(parts, len(x) // PART_SAMPLE))
+    return Router.fit(x, balanced_parts(unit, neighbour_graph(unit, GRAPH_K), parts), parts)
 
 
 def _distinct(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,34 +187,101 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+@dataclass
+class Index:
+    """Every vector with its part, and how many parts a query must probe for ``recall``."""
+
+    router: Router
+    rows: DataFrame
+    parts: int
+    probes: int
+    recall: float
+
+
+def _audit(router: Router, rows: DataFrame, asked: DataFrame, parts: int, k: int, recall: float) -> tuple[int, float]:
+    """The probes that find ``recall`` of the true neighbours of some queries among all rows, and the share found."""
+    # at most AUDIT vectors
+    got = asked.groupBy("id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(AUDIT).collect()
+    q_ids, q = np.array([r["id"] for r in got]), np.array([r["v"] for r in got])
+    if not len(q):
+        return parts, 1.0
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32)]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = q @ _matrix(b.column(1)).T
+            s[q_ids[:, None] == b.column(0).to_numpy()[None, :]] = -np.inf
+            top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+            row = np.repeat(np.arange(len(q)), top.shape[1])
+            score = np.take_along_axis(s, top, 1).ravel()
+            new = [row, b.column(0).to_numpy()[top.ravel()], score, b.column(2).to_numpy()[top.ravel()]]
+            best = [np.concatenate(c) for c in zip(best, ([c[np.isfinite(score)] for c in new]))]
+            order = np.lexsort((best[1], -best[2], best[0]))
+            best = [c[order] for c in best]
+            first = np.searchsorted(best[0], np.arange(len(q)))
+            keep = np.arange(len(best[0])) - first[best[0]] < k
+            best = [c[keep] for c in best]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["q", "id", "score", "part"])
+
+    near = rows.mapInArrow(scan, "q bigint, id bigint, score double, part int")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    # at most AUDIT * k rows
+    near = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("q", "part").collect()
+    if not near:
+        return parts, 1.0
+    rank = np.argsort(np.argsort(-router.scores(q), axis=1, kind="stable"), axis=1)  # when each part is probed
+    needed = np.array([rank[r["q"], r["part"]] for r in near])
+    probes = next((p for p in range(1, parts) if (needed < p).mean() >= recall), parts)
+    return probes, float((needed < probes).mean())
+
+
+def build(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", parts: int | None = None, sample: int | None = None, recall: float = RECALL) -> Index | None:
+    """The index of all usable vectors; None if there are none."""
+    ship(vectors.sparkSession)
+    rows = stash(clean(vectors, key, vector).where("id is not null"), "vectors")
+    n = rows.count()
+    sample = sample or min(SAMPLE_MOST, max(SAMPLE, n // FIT_SHARE))
+    got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    if not got:
+        return None
+    router = fit_router(np.array([r["v"] for r in got]), parts or max(PARTS, -(-n // SLAB)))
+    parts = len(router.d)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = router.scores(_matrix(b.column(1))).argmax(1) if b.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32))], names=["id", "v", "part"])
+
+    rows = stash(rows.mapInArrow(place, "id bigint, v array<double>, part int"), "routed")
+    probes, found = _audit(router, rows, rows.where(is_query), parts, k, recall)
+    return Index(router, rows, parts, probes, found)
+
+
 def search(
     vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding",
-    parts: int = PARTS, slab: int = SLAB, sample: int = SAMPLE, recall: float = RECALL,
+    parts: int | None = None, slab: int = SLAB, sample: int | None = None, recall: float = RECALL,
 ) -> DataFrame:
-    """(query_id, rank, key, score): the k nearest of each row that ``is_query``."""
+    """(query_id, rank, key, score): the k nearest of each row that ``is_query``, a condition on ``id``."""
     spark = vectors.sparkSession
-    ship(spark)
-    rows = stash(clean(vectors, key, vector).where("id is not null"), "vectors")
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    schema = f"query_id bigint, rank int, {key} bigint, score double"
-    if not got:
-        return spark.createDataFrame([], schema)
-    router, probes = fit_index(np.array([r["v"] for r in got]), parts, k, recall)
+    index = build(vectors, is_query, k, key, vector, parts, sample, recall)
+    if index is None:
+        return spark.createDataFrame([], f"query_id bigint, rank int, {key} bigint, score double")
+    router, probes, rows = index.router, index.probes, index.rows
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            order = np.argsort(-router.scores(_matrix(b.column(1))), axis=1, kind="stable")
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(order[:, 0].astype(np.int32)), pa.array(list(order[:, :probes].astype(np.int32)), pa.list_(pa.int32()))],
-                names=["id", "v", "part", "probe"],
-            )
-
-    routed = stash(rows.mapInArrow(route, "id bigint, v array<double>, part int, probe array<int>"), "routed")
-    sizes = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(slab))).cast("int").alias("slabs"))
-    # one row per part: at most ``parts`` rows
+            if b.num_rows:
+                order = np.argsort(-router.scores(_matrix(b.column(1))), axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "v", "probe"])
+
+    sizes = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(slab))).cast("int").alias("slabs"))
+    # one row per part: as many as the fit's sample allows at most
     sizes = F.broadcast(sizes)
-    members = routed.join(sizes, "part").select("part", F.pmod(F.xxhash64("id"), F.col("slabs")).cast("int").alias("slab"), F.lit(0).alias("role"), "id", "v")
-    queries = routed.where(is_query).select("id", "v", F.explode("probe").alias("part")).join(sizes, "part")
+    members = rows.join(sizes, "part").select("part", F.pmod(F.xxhash64("id"), F.col("slabs")).cast("int").alias("slab"), F.lit(0).alias("role"), "id", "v")
+    queries = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(route, "id bigint, v array<double>, probe array<int>")
+    queries = queries.select("id", "v", F.explode("probe").alias("part")).join(sizes, "part")
     queries = queries.select("part", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("slab"), F.lit(1).alias("role"), "id", "v")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

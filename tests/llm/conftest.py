@@ -34,7 +34,8 @@ def awkward(spark, small):
     nan, inf = float("nan"), float("inf")
     vectors = [None, [], [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [1.0], [1.0, 0.0], [1.0, 0.0], [2.0, 0.0], [0.0, 1.0], [1.0, 0.01], [1.0, 0.0]]
     ids = [*range(0, 240, 20), None]
-    emb = spark.createDataFrame(list(zip(ids, vectors, [None] * 13)), "vec_id bigint, embedding array<float>, label int")
+    ids, vectors = [*ids, 140, 200], [*vectors, [1.0, 0.0], [0.0, 2.0]]  # a repeated row, and an id with two vectors
+    emb = spark.createDataFrame(list(zip(ids, vectors, [None] * 15)), "vec_id bigint, embedding array<float>, label int")
     labels = spark.createDataFrame([(0, 1, 0), (3, 0, None), (None, 1, 1), (4, None, None), (5, 1, 0), (5, 0, 0)], "doc_id bigint, quality int, toxic int")
     extra = {c: F.lit(7) for c in CLASHING}
     return small(documents=docs.withColumns(extra), pages=pages.withColumns({k: v for k, v in extra.items()}), embeddings=emb.withColumns(extra), labels=labels.withColumns(extra))

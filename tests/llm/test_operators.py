@@ -295,6 +295,48 @@ def test_neighbours_recall_and_scores(spark, vectors):
     assert hits / (20 * len(rows)) >= 0.9
 
 
+def test_repeated_rows_of_a_query(spark):
+    from quillspark.llm.ann import search
+
+    x = np.random.default_rng(8).normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 2 + [(20, (x[20] + 1).tolist()), (7, x[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = defaultdict(list)
+    for r in search(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q, v in ((0, x[0]), (20, min(x[20].tolist(), (x[20] + 1).tolist())), (40, x[40])):
+        want = sorted((-float((np.array(v) * np.array(y)).sum()), i) for i, y in rows if i != q)[:20]
+        assert [(n, i) for n, i, _ in found[q]] == [(n, i) for n, (_, i) in enumerate(want, 1)]
+
+
+def test_parts_grow_and_clustered_vectors_need_few_of_them(spark):
+    from quillspark.llm.ann import build
+
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(64, 16)) * 3
+    x = centre[rng.integers(64, size=6000)] + rng.normal(size=(6000, 16)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    index = build(df, F.col("id") % 20 == 0, parts=40)
+    assert index.parts == 40 and index.probes < 20 and index.recall >= 0.95
+    assert build(df.limit(300), F.col("id") % 20 == 0).parts == 9
+
+
+def test_audit_sees_the_whole_table(spark):
+    from quillspark.llm.ann import Router, _audit
+
+    x = np.random.default_rng(10).normal(size=(2000, 8))
+    router = Router(np.eye(8), np.zeros(8), np.eye(8)[:, :4], np.zeros(4))
+    part = router.scores(x).argmax(1)
+    df = spark.createDataFrame([(i, v.tolist(), int(p)) for i, (v, p) in enumerate(zip(x, part))], "id bigint, v array<double>, part int").repartition(5)
+    asked = np.arange(0, 2000, 50)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    rank = np.argsort(np.argsort(-router.scores(x[asked]), axis=1, kind="stable"), axis=1)
+    needed = np.take_along_axis(rank, part[np.argsort(-s, axis=1)[:, :10]], 1)
+    probes, found = _audit(router, df, df.where("id % 50 = 0"), 4, 10, 0.9)
+    assert found == pytest.approx((needed < probes).mean()) and found >= 0.9 and (probes == 1 or (needed < probes - 1).mean() < 0.9)
+
+
 def test_balanced_parts():
     from quillspark.llm.ann import balanced_parts, neighbour_graph
 
