@@ -31,15 +31,15 @@ ARROW_TYPE = pa.list_(pa.struct([(n, t) for n, _, t in COLUMNS]))
 # the payload field that stands in the text column, by node type
 _TEXT_OF = {"Text": "content", "Role": "content", "Math": "content", "MathBlock": "content", "CodeSpan": "code", "FencedCode": "code", "IndentedCode": "code", "HtmlInline": "html", "HtmlBlock": "html", "Image": "alt"}
 _SAME = ("level", "style", "explicit_id", "url", "title", "name", "identifier", "info", "marker", "fence_indent", "source_start", "source_end", "ordered", "start", "tight", "checked", "is_header", "align", "alignments")
-_SCHEME = re.compile(r"[a-z][a-z0-9+.-]*")
+_SCHEME = re.compile(r"([a-z][a-z0-9+.-]*):")
+#: characters that browsers pass over in a scheme
+_UNSEEN = dict.fromkeys((*range(0x21), 0x7F))
 
 
 def url_scheme(url: str) -> str | None:
     """The scheme that a browser would see, or None: entities decoded, blanks and controls removed."""
-    bare = "".join(c for c in html.unescape(url) if 0x20 < ord(c) != 0x7F)
-    head, colon, _ = bare.partition(":")
-    head = head.lower()
-    return head if colon and _SCHEME.fullmatch(head) else None
+    found = _SCHEME.match(html.unescape(url).translate(_UNSEEN).lower())
+    return found and found[1]
 
 
 def flatten(doc: Node) -> dict[str, list]:
