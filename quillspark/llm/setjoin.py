@@ -15,8 +15,9 @@ The method is exact (up to 64-bit hashes):
    shingles; no combination is a key there: sets that share a leading one of those
    singly become a star (see ``_candidates``).
 3. Components of candidates are the units of verification; a component of more
-   than ``block`` sets is cut into blocks, and every two blocks are one unit. A
-   unit indexes prefixes anew by its own frequencies: one shared rare shingle, or
+   than ``block`` sets is cut into classes of like size and those into blocks, and
+   every two blocks of one class or of neighbouring ones are one unit: sets that
+   link differ in size by a quarter at most. A unit indexes prefixes anew by its own frequencies: one shared rare shingle, or
    enough frequent ones, counted singly, makes a candidate, whose overlap is
    then counted. Sets already connected are not compared. Units give a spanning
    forest of the links, never all pairs.
@@ -50,9 +51,12 @@ from .tokens import release
 RARE = 16
 #: at most so many frequent shingles are broadcast (2 MB)
 FREQUENT = 1 << 18
-#: bits of the filter of candidate sets that is broadcast (4 MB)
-FILTER_BITS = 1 << 25
+#: bits of the broadcast filter of candidate sets: eight for each of them within these bounds (32 MB at most;
+#: a filter that is too small lets more texts pass to the join that follows, and loses none)
+FILTER_LEAST, FILTER_MOST = 1 << 20, 1 << 28
 BLOCK = 512
+#: sizes of a class span this factor, a little more than linked sets may differ by
+CLASS = 1.2501
 COMBINE = 3
 #: shingles a task holds before it hands them on
 _HELD = 500_000
@@ -330,18 +334,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _filter_of(sigs: DataFrame) -> bytes:
-    """A bit per hashed set of ``sigs``; its size is fixed."""
-    mask = FILTER_BITS - 1
+def _filter_of(sigs: DataFrame, size: int) -> bytes:
+    """A bit per hashed set of ``sigs``; ``size`` bits, a power of two."""
 
     def run(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for b in batches:
-            x = b.column(0).to_numpy().astype(np.uint64) & np.uint64(mask)
+            x = b.column(0).to_numpy().astype(np.uint64) & np.uint64(size - 1)
             np.bitwise_or.at(bits, (x >> np.uint64(3)).astype(np.int64), (1 << (x & np.uint64(7))).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for row in sigs.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(row["bits"], np.uint8)
     return out.tobytes()
@@ -356,7 +359,8 @@ def _texts_of(wanted):
     def run(batches):
         from zstandard import ZstdCompressor
 
-        bits, mask, seen, pack = np.frombuffer(wanted.value, np.uint8), FILTER_BITS - 1, set(), ZstdCompressor(level=1)
+        bits, seen, pack = np.frombuffer(wanted.value, np.uint8), set(), ZstdCompressor(level=1)
+        mask = 8 * len(bits) - 1
         for b in batches:
             sigs, blobs = [], []
             for at in range(0, b.num_rows, 128):
@@ -379,7 +383,9 @@ def _candidates(found: DataFrame) -> DataFrame:
     counts with its rare shingles plus as many common ones as both sets could
     share. Of sets that share common shingles only, the lists of those must have
     a combination in common; by the prefix rule once more, they share one of the
-    first ``length - need + 1``, and those make stars.
+    first ``length - need + 1``, and those make stars. The centres are written
+    before they are joined, so that Spark can split the rows of a shingle that very
+    many sets lead with.
     """
     pairs = found.where("need >= 0").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
     lists = found.where("need < 0").groupBy(F.col("u").alias("sig")).agg(F.collect_set("v").alias("tokens"), F.max("shared").alias("n"))
@@ -388,7 +394,7 @@ def _candidates(found: DataFrame) -> DataFrame:
     need = F.least(F.greatest(F.lit(COMBINE), F.floor(low / F.lit(20))), low)
     keys = lists.withColumn("more", F.size("tokens") - need + 1).where("more >= 1")
     keys = keys.select("sig", F.explode(F.slice(F.array_sort("tokens"), F.lit(1), F.col("more").cast("int"))).alias("token"))
-    lead = keys.groupBy("token").agg(F.min("sig").alias("lead"))
+    lead = stash(keys.groupBy("token").agg(F.min("sig").alias("lead")), "leads")
     stars = keys.join(lead, "token").where("sig != lead").select(F.col("sig").alias("u"), F.col("lead").alias("v")).distinct()
     count = lists.select("sig", F.size("tokens").alias("more"))
     mixed = (
@@ -400,6 +406,23 @@ def _candidates(found: DataFrame) -> DataFrame:
     return pairs.where("shared >= need").select("u", "v").unionByName(mixed.select("u", "v")).unionByName(stars)
 
 
+def _units(near: DataFrame, block: int) -> DataFrame:
+    """(sig, unit, a, b): the units that verify each set of ``near(sig, unit, like)``; (0, 0) is a whole component."""
+    # only groups of more than a block need cutting: few rows, written first so that the joins know their size
+    large = near.groupBy("unit").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > block).select("unit")
+    cells = near.join(stash(large, "large"), "unit").groupBy("unit", "like").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("blocks"))
+    cells = stash(cells, "cells")
+    around = cells.select("unit", F.explode(F.array(F.col("like") - 1, "like", F.col("like") + 1)).alias("like"), F.struct(F.col("like").alias("c"), "blocks").alias("cell"))
+    around = around.groupBy("unit", "like").agg(F.collect_list("cell").alias("cells"))
+    cells = stash(cells.join(around, ["unit", "like"]), "cells")
+    code = lambda c, h: (c + 1).cast("bigint") * F.lit(1 << 32) + h
+    rows = near.join(cells, ["unit", "like"], "left").withColumn("own", F.when(F.col("blocks").isNotNull(), code(F.col("like"), F.pmod(F.xxhash64("sig"), F.col("blocks")))).otherwise(F.lit(0).cast("bigint")))
+    reach = F.flatten(F.transform("cells", lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda h: code(x["c"], h))))
+    other = F.filter(reach, lambda x: x != F.col("own"))
+    rows = rows.withColumn("other", F.explode(F.when(F.size(other) > 0, other).otherwise(F.array("own"))))
+    return rows.select("sig", "unit", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(key, n_shingles, component_id) of every row of ``docs``."""
     spark = docs.sparkSession
@@ -422,17 +445,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
         parts.repartition(buckets, F.when(F.col("bucket") < 0, F.hash("sig")).otherwise(F.col("bucket")))
         .mapInArrow(_bucket_pairs, "u bigint, v bigint, shared bigint, need bigint")
     )
-    near = stash(components(_candidates(stash(found, "shared")), "candidates"), "near")
-    near = near.select(F.col("node").alias("sig"), F.col("component").alias("unit"))
-    # only groups of more than a block need cutting: few rows, written first so that the join knows their size
-    large = near.groupBy("unit").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
-    large = stash(large.select("unit", F.ceil(F.col("size") / F.lit(float(block))).cast("int").alias("blocks")), "large")
-    cut = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("sig"), F.col("cut")).cast("int")
-    other = F.explode(F.when(F.col("cut") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("cut") - 1), lambda x: x != F.col("own"))))
-    placed = near.join(large, "unit", "left").withColumn("cut", cut).withColumn("own", own).withColumn("other", other)
-    placed = placed.select("sig", "unit", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    wanted = sc.broadcast(_filter_of(near.select("sig")))
+    near = components(_candidates(stash(found, "shared")), "candidates")
+    size = nodes.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"))
+    near = near.select(F.col("node").alias("sig"), F.col("component").alias("unit")).join(size, "sig")
+    like = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS))).cast("int")
+    near = stash(near.select("sig", "unit", like.alias("like")), "near")
+    placed = _units(near, block)
+    bits = 1 << max(FILTER_LEAST, min(FILTER_MOST, 8 * near.count())).bit_length() - 1
+    wanted = sc.broadcast(_filter_of(near.select("sig"), bits))
     texts = source.select("text").mapInArrow(_texts_of(wanted), "sig bigint, packed binary")
     texts = texts.groupBy("sig").agg(F.first("packed").alias("packed"))
     units = placed.join(texts, "sig").select("unit", "a", "b", "sig", "packed")
