@@ -97,6 +97,82 @@ def test_contract_kinds(docs):
     assert sorted(one(trees.contract_violations(df), "directive", "violation")) == [("step", "suggested_parent"), ("tab", "wrong_parent")]
 
 
+def test_contracts_with_every_rule(docs):
+    rules = {"a": trees.Contract(max_children=1, forbids_children=("c",)), "b": trees.Contract(requires_parent=("a",), allows_parent=("z",)), "c": trees.Contract(allows_parent=("b",))}
+    df = docs("::::{a}\n:::{b}\nx\n:::\n:::{c}\nx\n:::\n::::", ":::{b}\nx\n:::")
+    got = sorted(one(trees.contract_violations(df, contracts=rules), "doc_id", "directive", "violation", "message"))
+    assert got == [
+        (0, "a", "forbidden_child", "'c' is forbidden inside 'a'"),
+        (0, "a", "too_many_children", "'a' allows max 1 children, got 2"),
+        (0, "b", "suggested_parent", "'b' is intended to be inside: z"),
+        (0, "c", "suggested_parent", "'c' is intended to be inside: b"),
+        (1, "b", "missing_parent", "'b' must be inside: a"),
+    ]
+
+
+def test_recursive_diff(docs):
+    old = docs("> a\n>\n> - x\n> - y\n\nsame\n\n| a |\n|---|\n| b |", options=Options.of("all"))
+    new = docs("> a\n>\n> - x\n> - z *e*\n\nsame\n\n| a |\n|---|\n| c |\n\nmore", options=Options.of("all"))
+    df = old.select("doc_id", F.col("ast").alias("old_ast")).join(new.select("doc_id", F.col("ast").alias("new_ast")), "doc_id")
+    flat = one(trees.diff(df), "kind", "path", "type")
+    deep = one(trees.diff(df, recursive=True), "kind", "path", "type")
+    assert [c for c in deep if len(c[1]) == 1] == flat
+    assert ("modified", [0, 1, 1], "ListItem") in deep and ("modified", [0, 1, 1, 0, 0], "Text") in deep and ("added", [0, 1, 1, 0, 1], "Emphasis") in deep
+    assert not any(path[:2] in ([0, 0], [1]) for _, path, _ in deep if path != [1]) and not any(path[0] == 2 and len(path) > 1 for _, path, _ in deep)
+    assert one(trees.diff(df.withColumn("new_ast", F.col("old_ast")), recursive=True), "kind") == []
+
+
+def test_lint_of_a_document_is_sorted(docs):
+    df = docs("b \n# a\n### c \n[](x) \n\n##### e [](y)", None)
+    got = one(trees.lint(df, source_file=F.lit("f.md")), "offset", "line", "col", "rule_id", "end_line", "source_file")
+    assert got == sorted(got, key=lambda d: d[:4]) and len(got) == 7 and {d[5] for d in got} == {"f.md"}
+    assert '"end_col":null' in one(trees.lint(docs("[](x)")), trees.diagnostic_json())[0][0]
+
+
+def test_drops_join_to_one_pass(docs):
+    df = docs("![i](data:x) <b> [a](javascript:y) *c*")
+    joined = trees.strip_html | trees.strip_dangerous_urls
+    assert joined.gone is not None and one(df, C.render_html(joined(F.col("ast")))) == one(df, C.render_html(trees.strip_dangerous_urls(trees.strip_html(F.col("ast")))))
+
+
+def test_interval_functions_on_many_shapes(spark, docs):
+    """Against a walk over the rows, with nulls between and after nodes were dropped."""
+    import random
+
+    from quillspark.operators.spans import outside, sizes
+
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice(("> ", "- ", "a *b* [c](d)", "\n", "\n\n", "# h\n", "`x` ")) for _ in range(rnd.randrange(0, 25))) for _ in range(40)] + [None, ""]
+    df = docs(*texts)
+    picked = lambda n: n["type"].isin("ListItem", "Emphasis", "Link")
+    thin = trees.remove(F.col("ast"), lambda n: n["type"] == "Strong")
+    for ast in (F.col("ast"), thin):
+        rows = df.select(ast.alias("ast")).select("ast", outside(F.col("ast"), F.transform("ast", picked)).alias("o"), sizes(F.col("ast")).alias("s")).collect()
+        for r in rows:
+            if r["ast"] is None:
+                assert r["o"] is None and r["s"] is None
+                continue
+            for n, o, s in zip(r["ast"], r["o"], r["s"]):
+                over = [m for m in r["ast"] if m["id"] <= n["id"] <= m["last"]]
+                assert o == (not any(m["type"] in ("ListItem", "Emphasis", "Link") for m in over))
+                assert s == sum(n["id"] <= m["id"] <= n["last"] for m in r["ast"])
+
+
+def test_large_documents_take_linear_time(spark, docs, tmp_path):
+    """Some 34,000 nodes; each operator within seconds."""
+    source = "# h \n\n> - a *b* [](x) \n\n:::{note}\n`c`\n:::\n\n" * 2_400
+    docs(source).write.parquet(str(tmp_path / "large"))
+    df = spark.read.parquet(str(tmp_path / "large"))
+    assert df.select(F.size("ast")).first()[0] > 30_000
+    both = df.select("doc_id", F.col("ast").alias("old_ast"), F.col("ast").alias("new_ast"))
+    for make in (
+        lambda: df.select(F.size(trees.strict(F.col("ast")))), lambda: trees.lint(df), lambda: trees.diff(both), lambda: trees.diff(both, recursive=True), lambda: trees.contract_violations(df),
+    ):
+        start = time.time()
+        make().write.format("noop").mode("overwrite").save()
+        assert time.time() - start < 5
+
+
 def test_frontmatter_cases(spark):
     cases = ["---\na: 1\n---\nb", "no", "---\n: : bad\n  x\n---\nb", "---\n- l\n---\nb", "---\na: 1\nb", "---\nweight: x\norder: '7'\n---", "", None, "---\n---\nb"]
     df = spark.createDataFrame([(x,) for x in cases], "source string")
