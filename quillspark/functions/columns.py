@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspark.kernel import render
 from quillspark.kernel.model import Node, Options, ParseError
-from quillspark.kernel.table import ARROW_TYPE, SPARK_TYPE, arrow_rows, from_json, parse, to_json, trees_of
+from quillspark.kernel.table import COLUMNS, SPARK_TYPE, arrow_rows, from_json, parse, to_json, trees_of
 
 AST = SPARK_TYPE
 DEFAULT = Options()
@@ -61,6 +61,24 @@ def md_parse(source: Column | str, options: Options = DEFAULT) -> Column:
     return _parser(options)(source)
 
 
+@lru_cache(None)
+def _nodes(options: Options, names: tuple[str, ...]):
+    kinds = {n: t for n, t, _ in COLUMNS}
+    if unknown := set(names) - set(kinds):
+        raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
+
+    @F.arrow_udf("array<struct<" + ",".join(f"`{n}`:{kinds[n]}" for n in names) + ">>")
+    def run(source: pa.Array) -> pa.Array:
+        return arrow_rows([_tree(s, options) for s in source.to_pylist()], names)
+
+    return run
+
+
+def md_nodes(source: Column | str, *names: str, options: Options = DEFAULT) -> Column:
+    """The node table with these columns alone, where a query needs no more: only they leave the parser."""
+    return _nodes(options, names)(source)
+
+
 @lru_cache(None)
 def _errors(options: Options):
     @F.arrow_udf("string")
@@ -208,15 +226,31 @@ def escape_html(c: Column) -> Column:
     return F.replace(html_escape(c), F.lit("'"), F.lit("&#x27;"))
 
 
-def slugify(c: Column, max_length: int | None = None, separator: str = "-") -> Column:
-    """A lower-case anchor of the letters, digits and underscores of any script."""
-    c = F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", ""), r"(?U)[^\w\s-]", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?U)[-\s]+", separator), f"^{separator}+|{separator}+$", "")
-    if max_length is None:
-        return c
-    head = F.substring(c, 1, max_length)
-    cut = F.regexp_replace(head, f"{separator}[^{separator}]*$", "")
-    return F.when(F.length(c) > max_length, F.when(F.instr(head, separator) > 0, cut).otherwise(head)).otherwise(c)
+@lru_cache(None)
+def _slugs(max_length: int | None, separator: str, decode: bool):
+    @F.arrow_udf("string")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else render.slugify(t, max_length, separator, decode) for t in text.to_pylist()], pa.string())
+
+    return run
+
+
+def slugify(c: Column | str, max_length: int | None = None, separator: str = "-", decode: bool = True) -> Column:
+    """A lower-case anchor of the letters, digits and underscores of any script; character references are decoded first."""
+    return _slugs(max_length, separator, decode)(c)
+
+
+def code_length(node: Column) -> Column:
+    """Characters of a code block's content; of a fence from its places alone, without the text."""
+    return F.when(node["type"] == "FencedCode", node["source_end"] - node["source_start"]).otherwise(F.length(node["text"]))
+
+
+def span(first: Column, last: Column) -> Column:
+    """The place from the start of one node to the end of another."""
+    return F.struct(
+        first["lineno"].alias("lineno"), first["col"].alias("col"), first["offset"].alias("offset"),
+        F.coalesce(F.nullif(last["end_offset"], F.lit(0)), last["offset"]).alias("end_offset"), F.coalesce(last["end_lineno"], last["lineno"]).alias("end_lineno"),
+    )
 
 
 def process_escapes(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from .inlines import Inliner, label_key, parse_definition
 from .model import Node, Options, ParseError
@@ -69,8 +70,8 @@ def split_row(line: str) -> list[str]:
 class BlockParser:
     """Parses one source into a Document."""
 
-    def __init__(self, options: Options):
-        self.options = options
+    def __init__(self, options: Options, text: Callable[[str], str] | None = None):
+        self.options, self.text = options, text
         self.refs: dict[str, tuple[str, str | None]] = {}
 
     # -- line cursor -----------------------------------------------------
@@ -208,6 +209,9 @@ class BlockParser:
             self.lineno += 1
             self.line, self.pos, self.column, self.partial = line, 0, 0, False
             self._measure()
+            if self.text and self.stack[-1].node.type not in ("FencedCode", "HtmlBlock"):
+                self.line = line[: self.next] + self.text(line[self.next :])
+                self._measure()
             empty = self.blank
             self._take()
             self.below_blank = empty

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 
@@ -26,11 +27,12 @@ COLUMNS = (
 )
 NAMES = tuple(c[0] for c in COLUMNS)
 SPARK_TYPE = "array<struct<" + ",".join(f"`{n}`:{t}" for n, t, _ in COLUMNS) + ">>"
-ARROW_TYPE = pa.list_(pa.struct([(n, t) for n, _, t in COLUMNS]))
 
 # the payload field that stands in the text column, by node type
 _TEXT_OF = {"Text": "content", "Role": "content", "Math": "content", "MathBlock": "content", "CodeSpan": "code", "FencedCode": "code", "IndentedCode": "code", "HtmlInline": "html", "HtmlBlock": "html", "Image": "alt"}
 _SAME = ("level", "style", "explicit_id", "url", "title", "name", "identifier", "info", "marker", "fence_indent", "source_start", "source_end", "ordered", "start", "tight", "checked", "is_header", "align", "alignments")
+_DENSE = ("id", "parent", "ord", "slot", "depth", "last", "path", "type", "lineno", "col", "offset", "end_offset", "end_lineno", "boxes")
+_SLOTS = {"List": "items", "TableRow": "cells"}
 _SCHEME = re.compile(r"([a-z][a-z0-9+.-]*):")
 #: characters that browsers pass over in a scheme
 _UNSEEN = dict.fromkeys((*range(0x21), 0x7F))
@@ -42,33 +44,82 @@ def url_scheme(url: str) -> str | None:
     return found and found[1]
 
 
+class _Columns:
+    """Node rows of many trees, gathered column by column; payload columns hold only the rows that have a value."""
+
+    def __init__(self, names: tuple[str, ...]):
+        self.names, self.n = names, 0
+        self.dense: dict[str, list] = {n: [] for n in _DENSE}
+        self.sparse: dict[str, dict[int, object]] = {n: {} for n in names if n not in _DENSE}
+        self.paths = "path" in names
+
+    def add(self, doc: Node) -> None:
+        """The tree's rows in pre-order."""
+        first, dense, sparse = self.n, self.dense, self.sparse
+        nodes: list[Node] = []
+        ids, parents, ords, slots, depths, paths, boxes = ([] for _ in range(7))
+        todo = [(doc, -1, 0, "root", 0, (), 0)]
+        while todo:
+            node, parent, nth, slot, depth, path, box = todo.pop()
+            me, kind = len(nodes), node.type
+            nodes.append(node)
+            ids.append(me)
+            parents.append(parent)
+            ords.append(nth)
+            slots.append(slot)
+            depths.append(depth)
+            boxes.append(box if box > 0 else 0)
+            if self.paths:
+                paths.append(list(path))
+            kids = node.children
+            if kids:
+                # quotes and directives above a node; below a list they do not count, nor are they limited
+                if kind == "List":
+                    box = -1 << 20
+                elif kind == "BlockQuote" or kind == "Directive":
+                    box += 1
+                inner = _SLOTS.get(kind, "children")
+                for k in range(len(kids) - 1, -1, -1):
+                    c = kids[k]
+                    where = inner if kind != "Table" else ("head" if c.data["is_header"] else "body")
+                    todo.append((c, me, k, where, depth + 1, (*path, k) if self.paths else path, box))
+        last = list(ids)
+        for k in range(len(nodes) - 1, 0, -1):
+            if last[k] > last[p := parents[k]]:
+                last[p] = last[k]
+        for name, values in (
+            ("id", ids), ("parent", parents), ("ord", ords), ("slot", slots), ("depth", depths), ("last", last), ("path", paths), ("boxes", boxes), ("type", [x.type for x in nodes]),
+            ("lineno", [x.line for x in nodes]), ("col", [x.col for x in nodes]), ("offset", [x.start for x in nodes]), ("end_offset", [x.end for x in nodes]),
+            ("end_lineno", [x.last_line for x in nodes]),
+        ):
+            dense[name] += values
+        if sparse:
+            for k, x in enumerate(nodes, first):
+                if x.data:
+                    for name, value in x.data.items():
+                        if name in sparse and value is not None:
+                            sparse[name][k] = list(value.items()) if name == "options" else value
+                    if "text" in sparse and (name := _TEXT_OF.get(x.type)) is not None:
+                        sparse["text"][k] = x.data.get(name)
+                    if "scheme" in sparse and "url" in x.data:
+                        sparse["scheme"][k] = url_scheme(x.data["url"])
+        self.n += len(nodes)
+
+    def column(self, name: str) -> list:
+        """All values of a column."""
+        if name in self.dense:
+            return self.dense[name]
+        out = [None] * self.n
+        for k, v in self.sparse[name].items():
+            out[k] = v
+        return out
+
+
 def flatten(doc: Node) -> dict[str, list]:
     """Columns of the tree's rows in pre-order."""
-    out: dict[str, list] = {n: [] for n in NAMES}
-
-    def visit(node: Node, parent: int, nth: int, slot: str, depth: int, path: tuple[int, ...], boxes: int) -> None:
-        me, d = len(out["id"]), node.data
-        row = {k: d.get(k) for k in _SAME}
-        row.update(id=me, parent=parent, ord=nth, slot=slot, depth=depth, path=list(path), type=node.type, text=d.get(_TEXT_OF.get(node.type, "")))
-        row["scheme"] = url_scheme(d["url"]) if "url" in d else None
-        row["options"] = list(d["options"].items()) if "options" in d else None
-        row.update(lineno=node.line, col=node.col, offset=node.start, end_offset=node.end, end_lineno=node.last_line, last=me)
-        row["boxes"] = max(boxes, 0)
-        for n in NAMES:
-            out[n].append(row[n])
-        # quotes and directives above a node; below a list they do not count, nor are they limited
-        if node.type == "List":
-            boxes = -1 << 20
-        elif node.type in ("BlockQuote", "Directive"):
-            boxes += 1
-        kids = {"List": "items", "TableRow": "cells"}.get(node.type, "children")
-        for k, c in enumerate(node.children):
-            inner = kids if node.type != "Table" else ("head" if c.data["is_header"] else "body")
-            visit(c, me, k, inner, depth + 1, (*path, k), boxes)
-        out["last"][me] = len(out["id"]) - 1
-
-    visit(doc, -1, 0, "root", 0, (), 0)
-    return out
+    rows = _Columns(NAMES)
+    rows.add(doc)
+    return {n: rows.column(n) for n in NAMES}
 
 
 def unflatten(rows: list[dict]) -> Node:
@@ -141,26 +192,25 @@ def trees_of(ast: pa.Array) -> list[Node | None]:
     return out
 
 
-def parse(source: str, options: Options) -> Node:
-    """The tree of one source."""
+def parse(source: str, options: Options, text: Callable[[str], str] | None = None) -> Node:
+    """The tree of one source; ``text`` changes every line outside code blocks and raw HTML before it is read."""
     try:
-        return BlockParser(options).parse(source)
+        return BlockParser(options, text).parse(source)
     except RecursionError:
         raise ParseError("nesting exceeds what can be represented") from None
 
 
-def arrow_rows(trees: list[Node | None]) -> pa.Array:
-    """A list array of node rows, a list for each tree and null for None."""
-    cols: dict[str, list] = {n: [] for n in NAMES}
-    offsets, mask = [0], []
+def arrow_rows(trees: list[Node | None], names: tuple[str, ...] = NAMES) -> pa.Array:
+    """A list array of node rows, a list for each tree and null for None; ``names`` are its columns."""
+    rows, offsets, mask = _Columns(names), [0], []
     for t in trees:
         if t is not None:
-            for n, v in flatten(t).items():
-                cols[n].extend(v)
-        offsets.append(len(cols["id"]))
+            rows.add(t)
+        offsets.append(rows.n)
         mask.append(t is None)
-    rows = pa.StructArray.from_arrays([pa.array(cols[n], t) for n, _, t in COLUMNS], fields=[pa.field(n, t) for n, _, t in COLUMNS])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=pa.array(mask))
+    kinds = {n: t for n, _, t in COLUMNS}
+    cols = [pa.nulls(rows.n, kinds[n]) if n in rows.sparse and not rows.sparse[n] else pa.array(rows.column(n), kinds[n]) for n in names]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(cols, fields=[pa.field(n, kinds[n]) for n in names]), mask=pa.array(mask))
 
 
 # -- JSON -----------------------------------------------------------------

@@ -6,28 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import DEFAULT, hash_content, md_parse
+from quillspark.functions.handlers import Handlers, md_parse_with
 from quillspark.kernel.model import Options
+from quillspark.runtime import stash
 
 
-def with_hashes(docs: DataFrame, options: Options = DEFAULT, source: str = "source") -> DataFrame:
-    """``docs`` with the two hashes that key a parse."""
-    return docs.withColumns({"content_hash": hash_content(F.col(source)), "config_hash": F.sha2(F.lit(options.key()), 256)})
+def config_key(options: Options, handlers: Handlers | None = None) -> str:
+    """A text that is equal for parses that give equal trees; empty if nothing can tell, as with a function that changes lines."""
+    if handlers is None:
+        return options.key()
+    return "" if handlers.text or any(h.parse or h.options for h in handlers.custom) else f"{options.key()}|{handlers.strict}|{','.join(handlers.names)}"
 
 
-def parse_many(docs: DataFrame, options: Options = DEFAULT, cache: DataFrame | None = None, source: str = "source") -> DataFrame:
+def with_hashes(docs: DataFrame, options: Options = DEFAULT, source: str = "source", handlers: Handlers | None = None) -> DataFrame:
+    """``docs`` with the two hashes that key a parse; the second is empty where parses must not be shared."""
+    key = config_key(options, handlers)
+    return docs.withColumns({"content_hash": hash_content(F.col(source)), "config_hash": F.sha2(F.lit(key), 256) if key else F.lit("")})
+
+
+def parse_many(docs: DataFrame, options: Options = DEFAULT, cache: DataFrame | None = None, source: str = "source", handlers: Handlers | None = None) -> DataFrame:
     """``docs`` with ``ast``: rows of equal content share one parse, and parses in ``cache`` are taken from there.
 
     ``cache`` has (content_hash, config_hash, ast). Contents are made distinct
-    before the shuffle, so many copies of one document cost one row per task.
+    before the shuffle, so many copies of one document cost one row per task. The
+    parses are written before they are joined, so Spark can split the rows of a
+    content that very many documents share. With an empty ``config_hash`` every
+    row is parsed by itself.
     """
-    keyed = with_hashes(docs, options, source)
+    keyed = with_hashes(docs, options, source, handlers)
+    make = (lambda c: md_parse(c, options)) if handlers is None else (lambda c: md_parse_with(c, handlers, options))
+    if not config_key(options, handlers):
+        return keyed.withColumn("ast", make(F.col(source)))
     todo = keyed.groupBy("content_hash", "config_hash").agg(F.first(source).alias("text"))
     if cache is not None:
         todo = todo.join(cache.select("content_hash", "config_hash"), ["content_hash", "config_hash"], "left_anti")
-    done = todo.select("content_hash", "config_hash", md_parse("text", options).alias("ast"))
+    done = todo.select("content_hash", "config_hash", make(F.col("text")).alias("ast"))
     if cache is not None:
         done = done.unionByName(cache.select("content_hash", "config_hash", "ast"))
-    return keyed.join(done, ["content_hash", "config_hash"])
+    return keyed.join(stash(done, "parses"), ["content_hash", "config_hash"])
 
 
 def profile(docs: DataFrame, source: str = "source", ast: str = "ast") -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
-from quillspark.kernel.model import Options
+from quillspark.functions.handlers import DEFAULT_ROLES, DirectiveHandler, Handlers, directive, md_html_with, registry_of, transform_nodes, visit_nodes
+from quillspark.kernel.model import Node, Options, Visitor
+from quillspark.kernel.render import plain_text
 from quillspark.operators import reuse, trees
-from quillspark.functions.handlers import DEFAULT_ROLES, Handlers, directive, md_html_with, registry_of
 from quillspark.runtime import ship, spread, table
 from quillspark.sources import documents as S
 from quillspark.streaming.incremental import parse_incremental
@@ -73,8 +74,8 @@ def fence_of_events(spark, sf_dir):
 @query("select type, count(*)::bigint as n from (select unnest(['Document', 'Heading', 'Text', 'Paragraph', 'Text', 'Strong', 'Text', 'List', 'ListItem', 'Paragraph', 'Text']) as type from part) group by type")
 def node_counts(spark, sf_dir):
     """Nodes of each type over a table."""
-    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# h' || chr(10) || 'a **b**' || chr(10) || chr(10) || '- c'")
-    return trees.nodes(docs).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    rows = spread(table(spark, sf_dir, "part").select(F.expr("'# h' || chr(10) || 'a **b**' || chr(10) || chr(10) || '- c'").alias("source")))
+    return rows.select(F.inline(C.md_nodes("source", "type"))).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select p_partkey as doc_id, unnest([1, 2]) as level, unnest(['a b', p_name]) as text, unnest(['a-b', replace(lower(p_name), ' ', '-')]) as slug from part")
@@ -167,21 +168,52 @@ def lint_all(spark, sf_dir):
     return trees.lint(docs).select("doc_id", "rule_id", "line")
 
 
-@query(f"with s as (select doc_id, unnest(string_split(text, {NL})) as x from documents) select doc_id, count(*)::bigint as n from s where regexp_matches(x, '[ \\t]$') group by doc_id")
+_BLANKS = f"replace(replace(coalesce(text, ''), '`', ''), {NL}, ' ' || {NL})"
+_BREAKS = f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), {NL}, '')))"
+
+
+@query(f"select doc_id, unnest([1, 5 + {_BREAKS}])::int as line from documents")
 def lint_documents(spark, sf_dir):
+    """Every document as a code block whose lines end in blanks, between two lines that do."""
+    source = f"'a ' || {NL} || '```' || {NL} || {_BLANKS} || {NL} || '```' || {NL} || 'b '"
+    return trees.lint(_docs(spark, sf_dir, "documents", "doc_id", source)).select("doc_id", "line")
+
+
+@query(f"with s as (select doc_id, unnest(string_split({_BLANKS}, {NL})) as x from documents) select doc_id, count(*)::bigint as n from s where regexp_matches(x, '[ \\t]$') group by doc_id")
+def lint_lines(spark, sf_dir):
     """Lines of all documents that end in blanks, without regard to code."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"), F.array().cast(C.AST).alias("ast"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_BLANKS).alias("source"), F.array().cast(C.AST).alias("ast"))
     return trees.trailing_whitespace(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select n_nationkey as doc_id, kind, path, type from nation, (values ('modified', '1', 'Paragraph'), ('removed', '2', 'ThematicBreak'), ('added', '2', 'List'), ('added', '3', 'Paragraph')) t(kind, path, type)")
+@query("select p_partkey as doc_id, nth, rule_id, line, end_col from part, (values (0, 'trailing-whitespace', 1, 5), (1, 'heading-increment', 2, null), (2, 'no-empty-link', 4, null), (3, 'no-empty-link', 4, null), (4, 'trailing-whitespace', 4, 14)) t(nth, rule_id, line, end_col)")
+def lint_sorted(spark, sf_dir):
+    """Diagnostics of a document in the order of their places."""
+    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a ' || chr(10) || '### b' || chr(10) || chr(10) || '[](x) [](y)  '")
+    found = docs.select("doc_id", F.posexplode(trees.diagnostics(F.col("source"), F.col("ast"))).alias("nth", "d"))
+    return found.select("doc_id", "nth", "d.rule_id", "d.line", "d.end_col")
+
+
+_CHANGES = "('modified', '1', 'Paragraph'), ('removed', '2', 'ThematicBreak'), ('added', '2', 'List'), ('added', '3', 'Paragraph')"
+
+
+def _versions(spark, sf_dir):
+    old = "'# ' || p_name || chr(10) || 'a' || chr(10) || chr(10) || '---'"
+    new = "'# ' || p_name || chr(10) || 'b' || chr(10) || chr(10) || '- c' || chr(10) || chr(10) || 'd'"
+    rows = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), F.expr(old).alias("old"), F.expr(new).alias("new"))
+    return rows.select("doc_id", C.md_parse("old").alias("old_ast"), C.md_parse("new").alias("new_ast"))
+
+
+@query(f"select p_partkey as doc_id, kind, path, type from part, (values {_CHANGES}) t(kind, path, type)")
 def diff_documents(spark, sf_dir):
     """Changes between two versions."""
-    old = "'# ' || n_name || chr(10) || 'a' || chr(10) || chr(10) || '---'"
-    new = "'# ' || n_name || chr(10) || 'b' || chr(10) || chr(10) || '- c' || chr(10) || chr(10) || 'd'"
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.expr(old).alias("old"), F.expr(new).alias("new"))
-    rows = rows.select("doc_id", C.md_parse("old").alias("old_ast"), C.md_parse("new").alias("new_ast"))
-    return trees.diff(rows).withColumn("path", F.array_join("path", "."))
+    return trees.diff(_versions(spark, sf_dir)).withColumn("path", F.array_join("path", "."))
+
+
+@query(f"select p_partkey as doc_id, kind, path, type from part, (values {_CHANGES}, ('modified', '1.0', 'Text')) t(kind, path, type)")
+def diff_recursive(spark, sf_dir):
+    """Changes between two versions, those inside modified blocks too."""
+    return trees.diff(_versions(spark, sf_dir), recursive=True).withColumn("path", F.array_join("path", "."))
 
 
 @query("select p_partkey as doc_id, 0 as n from part")
@@ -304,10 +336,10 @@ def _box(renderer, node, body):
 
 @query(f"select n_nationkey as id, '<box><p>' || upper(n_name) || ' <i>' || n_regionkey || '</i> <svg>x</svg></p>' || {NL} || '</box><hl py>1' || {NL} || '</hl>' || {NL} as html from nation")
 def custom_handlers(spark, sf_dir):
-    """A directive, a role, an icon resolver, a highlighter and a text change of the user's own."""
+    """A directive, a role, an icon resolver, a highlighter and a change of lines of the user's own."""
     handlers = Handlers(
         registry_of(_box), DEFAULT_ROLES.register("it", handler=lambda r, n: f"<i>{n.data['content']}</i>"),
-        lambda name: f"<svg>{name}</svg>", lambda code, language: f"<hl {language}>{code}</hl>", str.upper,
+        lambda name: f"<svg>{name}</svg>", lambda code, language: f"<hl {language}>{code}</hl>", lambda line: line.replace("nation", "NATION"),
     )
     source = "':::{box}' || chr(10) || lower(n_name) || ' {it}`' || cast(n_regionkey as string) || '` {icon}`x`' || chr(10) || ':::' || chr(10) || '```py' || chr(10) || '1' || chr(10) || '```'"
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), md_html_with(F.expr(source), handlers).alias("html"))
@@ -341,3 +373,82 @@ def typed_options(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), got.alias("o")).select(
         "doc_id", F.col("o.open").cast("string").alias("open"), F.coalesce(F.col("o.size").cast("string"), F.lit("-")).alias("size")
     )
+
+
+@query("select p_partkey as doc_id, directive, violation, message from part, (values ('box', 'too_many_children', '''box'' allows max 1 children, got 2'), ('box', 'forbidden_child', '''pin'' is forbidden inside ''box'''), ('lid', 'suggested_parent', '''lid'' is intended to be inside: jar')) t(directive, violation, message)")
+def contracts_own(spark, sf_dir):
+    """Contracts of one's own: at most so many children, and none of some names."""
+    source = "'::::{box}' || chr(10) || ':::{lid}' || chr(10) || p_name || chr(10) || ':::' || chr(10) || ':::{pin}' || chr(10) || 'x' || chr(10) || ':::' || chr(10) || '::::'"
+    rules = {"box": trees.Contract(max_children=1, forbids_children=("pin",)), "lid": trees.Contract(allows_parent=("jar",))}
+    return trees.contract_violations(_docs(spark, sf_dir, "part", "p_partkey", source), contracts=rules).select("doc_id", "directive", "violation", "message")
+
+
+@query(f"select p_partkey as id, '<p><strong>' || p_name || '</strong> <strong>x</strong></p>' || {NL} || '<pre><code>@@y@@' || {NL} || '</code></pre>' || {NL} as html from part")
+def text_lines(spark, sf_dir):
+    """A function over the lines that makes Markdown before it is read; code stays."""
+    source = F.expr("'@@' || p_name || '@@ @@x@@' || chr(10) || chr(10) || '```' || chr(10) || '@@y@@' || chr(10) || '```'")
+    handlers = Handlers(text=lambda line: line.replace("@@", "**"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), md_html_with(source, handlers).alias("html"))
+
+
+@query(f"select p_partkey as id, '<p>' || p_name || ' (/u)</p>' || {NL} || '<p>' || p_size || '</p>' || {NL} as html from part")
+def transform_trees(spark, sf_dir):
+    """A function over all nodes that builds new subtrees and drops others."""
+
+    def change(n: Node) -> Node | None:
+        if n.type == "Link":
+            return Node("Text", [], {"content": plain_text(n) + f" ({n.data['url']})"}, n.line, n.col, n.start, n.end, n.last_line)
+        if n.type == "List":
+            return Node("Paragraph", [c for item in n.children for p in item.children for c in p.children], {}, n.line, n.col, n.start, n.end, n.last_line)
+        return None if n.type == "ThematicBreak" else n
+
+    docs = _docs(spark, sf_dir, "part", "p_partkey", "'[' || p_name || '](/u)' || chr(10) || chr(10) || '---' || chr(10) || '- ' || p_size")
+    return docs.select(F.col("doc_id").alias("id"), C.render_html(transform_nodes(F.col("ast"), change)).alias("html"))
+
+
+class _Outline(Visitor):
+    """Headings and words of text."""
+
+    def __init__(self):
+        self.levels, self.words = [], 0
+
+    def visit_Heading(self, node):
+        self.levels.append(node.data["level"])
+
+    def visit_Text(self, node):
+        self.words += len(node.data["content"].split())
+
+    def result(self):
+        return {"levels": ",".join(map(str, self.levels)), "words": self.words}
+
+
+@query("select p_partkey as id, '1,3' as levels, 2 + len(string_split(p_name, ' ')) as words from part")
+def visit_trees(spark, sf_dir):
+    """What a visitor of one's own finds in each document."""
+    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a' || chr(10) || '### *b*' || chr(10) || p_name")
+    got = visit_nodes(F.col("ast"), _Outline, "struct<levels:string,words:bigint>")
+    return docs.select(F.col("doc_id").alias("id"), got.alias("o")).select("id", "o.levels", "o.words")
+
+
+@query(f"select p_partkey as id, '<dl><dt>' || p_name || '</dt><dd>' || p_size || '</dd></dl>' || {NL} as html from part")
+def directive_parsed(spark, sf_dir):
+    """A directive whose own parser reads its raw content, with typed options."""
+
+    def parse(node: Node, content: str) -> Node:
+        node.data["pairs"] = [line.split(node.data["typed"], 1) for line in content.splitlines()]
+        return node
+
+    def show(renderer, node, body):
+        return "<dl>" + "".join(f"<dt>{a}</dt><dd>{b}</dd>" for a, b in node.data["pairs"]) + "</dl>\n"
+
+    pairs = DirectiveHandler(("pairs",), parse, show, options=lambda raw: raw.get("mark", ":"))
+    source = F.expr("':::{pairs}' || chr(10) || ':mark: =' || chr(10) || p_name || '=' || p_size || chr(10) || ':::'")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), md_html_with(source, Handlers(custom=(pairs,))).alias("html"))
+
+
+@query("select p_partkey as id, length(p_name) + 1 as fence, length(p_brand) + 1 as indented from part")
+def code_lengths(spark, sf_dir):
+    """Lengths of code blocks."""
+    docs = _docs(spark, sf_dir, "part", "p_partkey", "'```' || chr(10) || p_name || chr(10) || '```' || chr(10) || chr(10) || '    ' || p_brand")
+    node = lambda kind: F.element_at(trees.nodes_of_type(F.col("ast"), kind), 1)
+    return docs.select(F.col("doc_id").alias("id"), C.code_length(node("FencedCode")).alias("fence"), C.code_length(node("IndentedCode")).alias("indented"))

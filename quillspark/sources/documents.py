@@ -108,7 +108,8 @@ def parse_frontmatter(source: Column) -> tuple[Column, Column]:
 _OUTPUT = "struct<output_type:string,text:string,data:map<string,string>,ename:string,evalue:string,traceback:array<string>>"
 NOTEBOOK = (
     "struct<nbformat:int,metadata:struct<title:string,kernelspec:struct<name:string,language:string>,"
-    "jupytext:struct<text_representation:struct<display_name:string>>,date:string,summary:string,description:string>,"
+    "jupytext:struct<text_representation:struct<display_name:string>,formats:string>,date:string,summary:string,description:string,"
+    "tags:array<string>,authors:array<string>>,"
     "cells:array<struct<cell_type:string,source:string,metadata:struct<language:string,jupytext:struct<language_id:string>>,"
     f"outputs:array<{_OUTPUT}>>>>"
 )
@@ -167,6 +168,7 @@ def parse_notebook(content: Column) -> tuple[Column, Column]:
         title.alias("title"), F.lit("notebook").alias("type"), F.coalesce(F.size(nb["cells"]), F.lit(0)).alias("cell_count"),
         F.coalesce(meta["kernelspec"]["name"], F.lit("")).alias("kernel_name"), F.coalesce(meta["kernelspec"]["language"], F.lit("")).alias("language_version"),
         meta["date"].alias("date"), meta["summary"].alias("summary"), meta["description"].alias("description"),
+        meta["tags"].alias("tags"), meta["authors"].alias("authors"), F.when(meta["jupytext"]["formats"].isNotNull(), F.lit("ipynb")).alias("format"),
     )
     return source, about
 

@@ -25,6 +25,9 @@ from quillspark.kernel.model import Node, Options, ParseError
 from quillspark.kernel.render import HtmlRenderer
 from quillspark.kernel.table import SPARK_TYPE, arrow_rows, parse, trees_of
 
+#: trees that a worker keeps between micro-batches
+TREES = 256
+_LAST: dict[int, tuple[tuple[int, str], Node, Options]] = {}
 _SAFE = frozenset(("Paragraph", "Heading", "ThematicBreak"))
 
 
@@ -100,26 +103,45 @@ def parse_incremental(source: Column | str, previous: Column | str, edit_start:
     return _udf(options)(source, previous, edit_start, edit_end, new_length)
 
 
+def _edited(key: int, source: str, version: int, edits: pd.DataFrame, options: Options) -> tuple[str, int, str | None]:
+    """Source, version and HTML of a document after newer edits, through the worker's tree of it if there is one."""
+    held = _LAST.pop(key, None)
+    tree = held[1] if held and held[0] == (version, source) and held[2] == options else None
+    for r in edits.itertuples():
+        if r.version > version:
+            a, b = (min(max(int(x), 0), len(source)) for x in (r.edit_start, r.edit_end))
+            b, more = max(a, b), r.inserted or ""
+            source, version = source[:a] + more + source[b:], int(r.version)
+            try:
+                tree = tree and reparse(source, tree, a, b, len(more), options)[0]
+            except ParseError:
+                tree = None
+    try:
+        tree = tree or parse(source, options)
+    except ParseError:
+        return source, version, None
+    _LAST[key] = ((version, source), tree, options)
+    while len(_LAST) > TREES:
+        del _LAST[next(iter(_LAST))]
+    return source, version, HtmlRenderer(options).render(tree)
+
+
 def apply_edits(edits: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """A stream of (doc_id, version, edit_start, edit_end, inserted) to (doc_id, version, source, html).
 
     State is a document's source; an edit of a document not seen before starts
     from the empty text. Edits of one micro-batch apply in order of version, and
     versions that are not newer than the state are ignored, so replays are safe.
+    A worker keeps the trees of ``TREES`` documents that it saw last: an edit of one
+    of them parses only the region around it. Elsewhere, as after the loss of an
+    executor, the source in the state is parsed once.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         source, version = state.get if state.exists else ("", -1)
-        rows = pd.concat(list(frames)).sort_values("version")
-        for r in rows.itertuples():
-            if r.version > version:
-                a, b = (min(max(int(x), 0), len(source)) for x in (r.edit_start, r.edit_end))
-                source, version = source[:a] + (r.inserted or "") + source[max(a, b) :], int(r.version)
+        edits = pd.concat(list(frames)).sort_values("version")
+        source, version, html = _edited(key[0], source, version, edits, options)
         state.update((source, version))
-        try:
-            html = HtmlRenderer(options).render(parse(source, options))
-        except ParseError:
-            html = None
         yield pd.DataFrame({"doc_id": [key[0]], "version": [version], "source": [source], "html": [html]})
 
     return edits.groupBy("doc_id").applyInPandasWithState(

@@ -252,6 +252,26 @@ def test_edit_stream(spark, tmp_path):
     assert last == {1: '<h1 id="ab">ab</h1>\n', 2: "<p>x</p>\n"}
 
 
+def test_edits_go_through_the_kept_tree():
+    """Random edits in small steps give what a full parse gives."""
+    import random
+
+    import pandas as pd
+
+    from quillspark.kernel.render import HtmlRenderer
+    from quillspark.streaming import incremental
+
+    rnd, source, version, options = random.Random(4), "", -1, Options()
+    for k in range(300):
+        a = rnd.randrange(len(source) + 1)
+        b = min(len(source), a + rnd.randrange(4))
+        edit = pd.DataFrame([(k, a, b, rnd.choice(("x", "\n\n", "# h\n", "- a\n", "word ", "*e*", "", "> q\n")))], columns=["version", "edit_start", "edit_end", "inserted"])
+        source, version, html = incremental._edited(1, source, version, edit, options)
+        assert html == HtmlRenderer(options).render(parse(source, options)) and incremental._LAST[1][0] == (k, source)
+    old = pd.DataFrame([(0, 0, 5, "zz")], columns=["version", "edit_start", "edit_end", "inserted"])
+    assert incremental._edited(1, source, version, old, options)[:2] == (source, version)
+
+
 def test_native_scalars_equal_the_kernel(spark):
     from quillspark.kernel.render import cut_at_word, slugify
 
@@ -317,10 +337,10 @@ def test_stashes_can_be_swept(spark):
     assert b.count() == 4 and sweep(spark) >= 1 and sweep(spark) == 0
 
 
-def test_slugify_text_reaches_the_end(spark, sf):
+def test_slugify_reaches_the_end(spark, sf):
     from quillspark.plans.queries import QUERIES
 
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    slugs = {r["id"]: r["slug"] for r in QUERIES["slugify_text"](spark, sf).collect()}
+    slugs = {r["id"]: r["slug"] for r in QUERIES["slugify"](spark, sf).collect()}
     long = [i for i, t in texts.items() if len(t) > 1000 and "-" in slugs[i]]
     assert long and all(len(slugs[i]) > 0.5 * len(texts[i]) for i in long)
