@@ -80,15 +80,19 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1.0 / 4096,
     block_tokens: int = 2_000_000,
+    special_as_text: bool = False,
 ) -> DataFrame:
-    """Pack ``docs(doc_id, text)``; ``vocabulary`` is the path of the tokenizer's file."""
+    """Pack ``docs(doc_id, text)``; ``vocabulary`` is the path of the tokenizer's file.
+
+    Its special tokens have their own ids where a text spells them, unless ``special_as_text``.
+    """
     ship(docs.sparkSession)
     arrow = pa.schema([(c, pa.float64() if c == "cost" else pa.int64()) for c in SCHEMA.replace(",", "").split()[::2]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, seq = encoder(vocabulary), TaskContext.get().partitionId() << 32
+        enc, seq = encoder(vocabulary, special_as_text), TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
         raws: list[bytes] = []
         held = 0

@@ -24,15 +24,19 @@ class WordEncoder:
 
     The vocabulary's rules never look across white space, and each pre-token is
     encoded alone. So plain texts are cut into pre-tokens, others at ASCII
-    blanks, and only pieces not met before go to the library, together.
+    blanks, and only pieces not met before go to the library, together. A text
+    with one of the vocabulary's special tokens goes there whole, and has its id, as
+    by the library's own setting; with ``special_as_text`` it is text like any other.
     """
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
+        special = [] if special_as_text else [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -55,7 +59,9 @@ class WordEncoder:
     def _pieces(self, texts: list[str]) -> list[list[str]]:
         split, parts, chunks = [], set(), set()
         for t in texts:
-            if _PLAIN.fullmatch(t):
+            if self.special and self.special.search(t):
+                split.append([t])
+            elif _PLAIN.fullmatch(t):
                 split.append(p := _PARTS.findall(t.lower()))
                 parts.update(p)
             else:
@@ -74,21 +80,26 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text, end id included."""
         gc.disable()  # a batch makes many small objects and no cycles
         try:
-            pieces = self._pieces(texts)
+            pieces, whole = self._pieces(texts), {}
+            for k, (t, p) in enumerate(zip(texts, pieces)):
+                if self.special and p == [t] and self.special.search(t):
+                    pieces[k] = [""]
+                    whole[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
             get, end = self.known.__getitem__, np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
-            return [b"".join(map(get, ws)) + end for ws in pieces]
+            return [whole.get(k, b"") + b"".join(map(get, ws)) + end for k, ws in enumerate(pieces)]
         finally:
             gc.enable()
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
     """The worker's encoder for this vocabulary, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    key = path, special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(path, special_as_text=special_as_text)
+    return _ENCODERS[key]
 
 
 def release() -> None:
