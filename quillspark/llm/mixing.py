@@ -1,7 +1,10 @@
 """Operator 4: mixing sources to target weights by iterative proportional fitting (native).
 
 Token weights are summed into cells (one per combination of the dimensions);
-each round scales the cells to one dimension's target marginal after the other.
+each round scales the cells to one dimension's target marginal after the other,
+until no marginal is off its target by more than ``TOLERANCE`` of all tokens, or
+``ROUNDS`` rounds are over (targets that contradict each other). ``rake`` returns
+the error that is left.
 The fitted weight over the cell's tokens is the rate at which its documents are
 taken; rates are scaled so that the largest is 1 and a document stays when the
 hash of its id is below its cell's rate. Nothing is taken twice.
@@ -29,7 +32,11 @@ from quillspark.runtime import stash, table
 DIMENSIONS = ("source", "lang", "topic")
 #: target share of a value = its natural share to this power, over their sum
 SMOOTHING = 0.9
-ROUNDS = 10
+#: rounds at most, and after how many the error is looked at
+ROUNDS, STEP = 40, 5
+TOLERANCE = 1e-9
+#: so many cells are raked in one task without a shuffle; more are dealt by the dimension at hand
+SMALL = 1 << 16
 #: topic markers looked for in the lower-cased text, in this order (fixed values)
 TOPICS = (("legal", "licen"), ("contact", "@"), ("tabular", "|"))
 
@@ -54,36 +61,73 @@ def unit_hash(key: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def fit_cells(
-    cells: DataFrame, dims: tuple[str, ...], rounds: int, smoothing: float, targets: dict[str, DataFrame] | None, spare: float = 0.0
-) -> DataFrame:
-    """Rake ``cells(*dims, tokens)``; adds ``rate`` in (0, 1]. See the module on ``spare``."""
-    everything = Window.partitionBy(F.lit(0))
+def rake(
+    cells: DataFrame, dims: tuple[str, ...], rounds: int, smoothing: float, targets: dict[str, DataFrame] | None, tolerance: float = TOLERANCE
+) -> tuple[DataFrame, float]:
+    """``cells(*dims, tokens)`` with goals per dimension, their total and the fitted weight ``w``; and the largest error of a marginal as a share of all tokens."""
+    total = cells.agg(F.sum("tokens").cast("double")).scalar()
     fitted = cells.withColumn("w", F.col("tokens").cast("double"))
-    total = F.sum("tokens").over(everything)
     for d in dims:
         if targets and d in targets:
             goal = targets[d].select(F.col("value").alias(d), F.col("share").alias(f"goal_{d}"))
             fitted = fitted.join(goal, d, "left").withColumn(f"goal_{d}", F.coalesce(f"goal_{d}", F.lit(0.0)))
         else:
             goal = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(smoothing)).alias("p"))
-            goal = goal.select(d, (F.col("p") / F.sum("p").over(everything)).alias(f"goal_{d}"))
+            goal = goal.select(d, (F.col("p") / goal.agg(F.sum("p")).scalar()).alias(f"goal_{d}"))
             fitted = fitted.join(goal, d)
-    fitted = stash(fitted.withColumn("total", total.cast("double")), "goals")
-    fitted = _rake(fitted, dims, rounds)
-    rate = F.col("w") / F.col("tokens")
-    fitted = stash(fitted.withColumn("rate", rate), "cells")
+    return _until(stash(fitted.withColumn("total", total), "goals"), dims, rounds, tolerance)
+
+
+def _until(fitted: DataFrame, dims: tuple[str, ...], rounds: int, tolerance: float, cap: Column | None = None) -> tuple[DataFrame, float]:
+    """Rounds until the marginals fit or the cells stand still."""
+    done, error = 0, 1.0
+    one = (lambda df: df.coalesce(1)) if fitted.count() <= SMALL else (lambda df: df)
+    while done < rounds:
+        step = min(STEP, rounds - done)
+        before, done = F.col("w").alias("was"), done + step
+        fitted = stash(_rake(one(fitted.drop("was").select("*", before)), dims, step, cap), "cells")
+        off = [fitted.groupBy(d).agg((F.abs(F.sum("w") - F.first(f"goal_{d}") * F.first("total")) / F.first("total")).alias("off")).agg(F.max("off")).scalar() for d in dims]
+        still = F.max(F.abs(F.col("w") - F.col("was")) / F.col("total"))
+        got = fitted.agg(still.alias("still")).select("still", F.greatest(F.lit(0.0), *off).alias("off")).first()
+        error = got["off"] or 0.0
+        if min(error, got["still"] or 0.0) <= tolerance:
+            break
+    return fitted.drop("was"), error
+
+
+def fit_cells(
+    cells: DataFrame, dims: tuple[str, ...], rounds: int, smoothing: float, targets: dict[str, DataFrame] | None, spare: float = 0.0
+) -> DataFrame:
+    """Rake ``cells(*dims, tokens)``; adds ``rate`` in (0, 1]. See the module on ``spare``."""
+    fitted, _ = rake(cells, dims, rounds, smoothing, targets)
+    fitted = fitted.withColumn("rate", F.col("w") / F.col("tokens"))
     if not spare:
-        return fitted.select(*dims, "tokens", "w", (F.col("rate") / F.max("rate").over(everything)).alias("rate"))
-    # the highest rate once the cells above it hold more than the spared share
-    above = F.sum("tokens").over(everything.orderBy(F.desc("rate")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    fitted = fitted.withColumn("above", above)
-    fitted = fitted.withColumn("scale", F.max(F.when(F.col("above") > spare * F.col("total"), F.col("rate"))).over(everything))
-    fitted = stash(_rake(stash(fitted, "scaled"), dims, rounds, F.col("tokens") * F.col("scale")), "cells")
+        return fitted.select(*dims, "tokens", "w", (F.col("rate") / fitted.agg(F.max("rate")).scalar()).alias("rate"))
+    scale = _scale(fitted, spare)
+    fitted, _ = _until(fitted.withColumn("scale", F.lit(scale)), dims, rounds, TOLERANCE, F.col("tokens") * F.col("scale"))
     taken = F.least(F.col("w") / F.col("tokens") / F.col("scale"), F.lit(1.0))
     return fitted.select(*dims, "tokens", "w", F.when(F.col("scale") > 0, taken).otherwise(F.lit(0.0)).alias("rate"))
 
 
+def _scale(fitted: DataFrame, spare: float) -> float:
+    """The highest rate once the cells with that or more hold over the spared share of the tokens.
+
+    Sums of cells with nearly equal rates come first (their number does not grow
+    with the cells); only the cells of the band that crosses the share are sorted.
+    """
+    band = F.when(F.col("rate") > 0, F.floor(F.log("rate") * 64)).otherwise(F.lit(-(1 << 40)))
+    rows = fitted.select("rate", "tokens", band.cast("bigint").alias("band"))
+    sums = rows.groupBy("band").agg(F.sum("tokens").alias("n"))
+    down = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = F.lit(spare) * fitted.agg(F.max("total")).scalar()
+    first = sums.select("band", "n", F.sum("n").over(down).alias("upto")).where(F.col("upto") > over).orderBy(F.desc("band")).first()
+    if first is None:
+        return 0.0
+    inside = Window.orderBy(F.desc("rate")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = rows.where(F.col("band") == first["band"]).select("rate", (F.sum("tokens").over(inside) + F.lit(first["upto"] - first["n"])).alias("upto"))
+    return inside.where(F.col("upto") > over).agg(F.max("rate")).first()[0] or 0.0
+
+
 def _rake(fitted: DataFrame, dims: tuple[str, ...], rounds: int, cap: Column | None = None) -> DataFrame:
     """``w`` scaled to each dimension's goal in turn, and cut to ``cap`` after each round."""
     for _ in range(rounds):
@@ -159,6 +203,7 @@ def _sql() -> str:
             f"f_{k + 1} as materialized (select * exclude (w), w * g_{d} * total / sum(w) over (partition by {d}) w from {last})"
         )
         last = f"f_{k + 1}"
+    # rounds after the tolerance is met change nothing that rounding to six digits shows
     steps.append(f"fit as (select source, lang, topic, (w / tokens) / max(w / tokens) over () rate from {last})")
     return f"""with {", ".join(steps)}
         select doc_id, source, lang, topic, tokens, round(rate, 6) rate,

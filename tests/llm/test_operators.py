@@ -37,7 +37,6 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     rows = QUERIES["op1_packing"](spark, DATA).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -80,11 +79,13 @@ def test_encoder_on_odd_texts():
 
     from quillspark.llm.tokens import WordEncoder
 
-    texts = ["", "  a\tb\n\nc", "don't WE'RE it's 'tis x''s", "ΑΣ ΑΣ. İstanbul ﬁ x²½", "á é b c\x85d", "<|endoftext|> <|startoftext|>", "日本語 の text", "a_b-c.d/e\\f 12345", "ß ÿ × ÷ ª º µ"]
+    texts = ["", "  a\tb\n\nc", "don't WE'RE it's 'tis x''s", "ΑΣ ΑΣ. İstanbul ﬁ x²½", "á é b c\x85d", "<|endoftext|> <|startoftext|>", "a<|endoftext|>B", "<|ENDOFTEXT|> <|x|>", "日本語 の text", "a_b-c.d/e\\f 12345", "ß ÿ × ÷ ª º µ"]
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
-    enc = WordEncoder(public_tokenizers.path("word_bpe_49k.json"), cache_entries=5)
-    for _ in range(2):
+    for as_text in (False, True, False):
+        tok.encode_special_tokens = as_text
+        enc = WordEncoder(public_tokenizers.path("word_bpe_49k.json"), cache_entries=5, special_as_text=as_text)
+        assert (49407 in tok.encode(texts[5], add_special_tokens=False).ids) != as_text
+        enc.encode(texts[:3])
         for got, want in zip(enc.encode(texts), tok.encode_batch(texts, add_special_tokens=False)):
             assert np.frombuffer(got, "<u4").tolist() == [*want.ids, 2]
 
@@ -674,6 +675,150 @@ def test_weighted_shards(spark):
     assert abs(counts[2] - 10_000) < 400 and abs(counts[0] - 5_000) < 400
 
 
+# -- brute force of operators that SQL cannot express ------------------------
+
+
+def test_shards_by_brute_force(spark, docs):
+    import math
+    import struct
+
+    import xxhash
+
+    def pick(key, shards):
+        best = []
+        for s in range(shards):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", s), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+            best.append((-math.log(((h >> 11) + 1) / (1 << 53)), s))
+        return min(best)[1]
+
+    rows = QUERIES["op10_sharding"](spark, DATA).collect()
+    assert len(rows) == len(docs) and all((r["shard"], r["grown_shard"]) == (pick(r["doc_id"], 40), pick(r["doc_id"], 41)) for r in rows)
+
+
+def slow_features(text):
+    """The features of a document by plain loops over its characters, words and lines."""
+    raw = text.encode("utf-8")
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    if not words:
+        return [0.0] * 26
+    groups = [None, b" \t", b"\n\r", None, None, b"0123456789", b".,;:'\"-()", b"!", b"?", b"|", b"*#$%&@~^_=+<>/\\[]{}`", None]
+    share = [0.0] * 12
+    for c in raw:
+        kind = 3 if 97 <= c <= 122 else 4 if 65 <= c <= 90 else 11 if c >= 128 else next((k for k, g in enumerate(groups) if g and c in g), 0)
+        share[kind] += 1
+    kinds = [(s / len(raw)) ** 0.5 for s in share]
+    n, unique = len(words), sorted(set(words))
+    repeated = sum(len(x) for x in lines) - sum(len(x) for x in set(lines))
+    return kinds + [
+        1.0, float(np.log1p(n)) / 10, len(raw) / n / 10, len(unique) / n, max(words.count(w) for w in unique) / n, sum(map(len, unique)) / len(unique) / 10, len(lines) / n,
+        repeated / len(raw), max(map(len, lines)) / len(raw), (raw.count(b". ") + raw.count(b".\n") + raw.endswith(b".")) / n, sum(w.isupper() for w in unique) / len(unique),
+        sum(w[:1].isupper() for w in unique) / len(unique), sum(len(w) == 1 for w in words) / n, sum(not w[-1:].isalnum() and w[-1] < 128 for w in unique) / len(unique),
+    ]
+
+
+def test_quality_by_brute_force(spark, docs, small):
+    """Scores from slow features and a plain descent on the same pairs equal the query's."""
+    from quillspark.llm import quality
+
+    some = {i: t for i, t in docs.items() if len(t) < 3000}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r["doc_id"] in some}
+    path = small(documents=spark.createDataFrame(list(some.items()), "doc_id bigint, text string"), labels=spark.createDataFrame([(i, q) for i, q in labels.items()], "doc_id bigint, quality int"))
+    f = {i: np.array(slow_features(t)) for i, t in some.items()}
+    train = sorted((tuple(f[i]), float(q)) for i, q in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2)
+    x, y = np.array([t[0] for t in train]), np.array([t[1] for t in train])
+    good, bad, scale = x[y == 1], x[y == 0], np.maximum(x.std(0), 1e-9)
+    rng = np.random.default_rng(7)
+    pairs = min(quality.MAX_PAIRS, quality.OPPONENTS * max(len(good), len(bad)))
+    diff = (good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)]) / scale
+
+    def loss(w):
+        return np.logaddexp(0, -(diff @ w)).mean() + 0.5e-3 * w @ w
+
+    w, scale2, cut, slope = quality.fit(x, y)
+    assert np.allclose(scale, scale2)
+    for k in range(len(w)):  # no step along any weight lowers the loss
+        for step in (1e-3, -1e-3):
+            assert loss(w + step * np.eye(len(w))[k]) >= loss(w)
+    s = x @ (w / scale)
+    assert ((s > cut) == (y == 1)).mean() > 0.95
+    want = {i: 1 / (1 + np.exp(-np.clip((v @ (w / scale) - cut) * slope + np.log(0.7 / 0.3), -30, 30))) for i, v in f.items()}
+    rows = QUERIES["op5_quality"](spark, path).collect()
+    assert len(rows) == len(some)
+    for r in rows:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6) and r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_licence_spans_by_brute_force(docs):
+    """Matching statistics from a list of all runs of the templates; chains as the module says; labels of what is planted."""
+    from quillspark.llm.licenses import GAP, LONG_COVER, MIN_COVER, MIN_RUN, TEMPLATES, LicenceScanner, words_of
+
+    scanner = LicenceScanner()
+    texts = [t.encode().split() for _, t in TEMPLATES]
+    places = defaultdict(list)
+    for k, t in enumerate(texts):
+        for i in range(len(t)):
+            for j in range(i + 1, len(t) + 1):
+                places[tuple(t[i:j])].append((k, j))
+
+    def longest(words, end):
+        """The longest run of words that ends here and stands in a template."""
+        n = 0
+        while n < end and tuple(words[end - n - 1 : end]) in places:
+            n += 1
+        return n
+
+    def spans(words):
+        stat = [longest(words, e) for e in range(len(words) + 1)]
+        runs = [(e, n) for e, n in enumerate(stat) if n >= MIN_RUN and (e == len(words) or stat[e + 1] != n + 1)]
+        open_, out = {}, []
+
+        def close(t):
+            a, e, _, covered = open_.pop(t)
+            if covered >= MIN_COVER * len(texts[t]) or covered >= LONG_COVER:
+                out.append((t, a, e, min(1.0, covered / len(texts[t]))))
+
+        for e, n in runs:
+            for t, place in sorted(places[tuple(words[e - n : e])]):
+                c = open_.get(t)
+                if c and e - n - c[1] <= GAP and place > c[2] and min(n, e - c[1], place - c[2]) > 0:
+                    open_[t] = (c[0], e, place, c[3] + min(n, e - c[1], place - c[2]))
+                    continue
+                if c and c[1] >= e:
+                    continue
+                if c:
+                    close(t)
+                open_[t] = (e - n, e, place, n)
+        for t in list(open_):
+            close(t)
+        return sorted(out, key=lambda s: (s[1], s[2], s[0]))
+
+    rnd = random.Random(2)
+    marks = [t for t in docs.values() if "licen" in t.lower()][:40]
+    for k in range(120):
+        text = rnd.choice(marks) if marks and k % 3 == 0 else rnd.choice(list(docs.values()))
+        words = words_of(text)[:400]
+        label, notice = rnd.choice(TEMPLATES)
+        notice = notice.split()
+        if k % 2:  # a notice with a word left out or another put in
+            notice[rnd.randrange(len(notice)) : rnd.randrange(len(notice)) + 1] = ["zz"] * rnd.randrange(2)
+        at = rnd.randrange(len(words) + 1)
+        words = words[:at] + [w.encode() for w in notice] + words[at:]
+        assert scanner.spans(words) == spans(words)
+        if not k % 2:
+            assert label in {scanner.templates[t][0] for t, *_ in scanner.spans(words)}
+
+
+def test_raking_reports_the_error_that_is_left(spark):
+    from quillspark.llm.mixing import rake
+
+    cells = spark.createDataFrame([("a", "x", 100), ("b", "y", 50)], "s string, l string, tokens bigint")
+    share = lambda **v: spark.createDataFrame(list(v.items()), "value string, share double")
+    fits, error = rake(cells, ("s", "l"), 40, 1.0, {"s": share(a=0.3, b=0.7), "l": share(x=0.3, y=0.7)})
+    assert error < 1e-9 and {r["s"]: round(r["w"], 6) for r in fits.collect()} == {"a": 45.0, "b": 105.0}
+    _, error = rake(cells, ("s", "l"), 10, 1.0, {"s": share(a=0.3, b=0.7), "l": share(x=0.6, y=0.4)})
+    assert error == pytest.approx(0.3)
+
+
 # -- pipeline -------------------------------------------------------------
 
 
