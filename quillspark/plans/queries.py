@@ -186,12 +186,12 @@ def lint_lines(spark, sf_dir):
     return trees.trailing_whitespace(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select p_partkey as doc_id, nth, rule_id, line, end_col from part, (values (0, 'trailing-whitespace', 1, 5), (1, 'heading-increment', 2, null), (2, 'no-empty-link', 4, null), (3, 'no-empty-link', 4, null), (4, 'trailing-whitespace', 4, 14)) t(nth, rule_id, line, end_col)")
+@query("select p_partkey as doc_id, nth, rule_id, line, end_col from part, (values (0, 'trailing-whitespace', 1, 5), (1, 'heading-increment', 2, 0), (2, 'no-empty-link', 4, 0), (3, 'no-empty-link', 4, 0), (4, 'trailing-whitespace', 4, 14)) t(nth, rule_id, line, end_col)")
 def lint_sorted(spark, sf_dir):
     """Diagnostics of a document in the order of their places."""
     docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a ' || chr(10) || '### b' || chr(10) || chr(10) || '[](x) [](y)  '")
     found = docs.select("doc_id", F.posexplode(trees.diagnostics(F.col("source"), F.col("ast"))).alias("nth", "d"))
-    return found.select("doc_id", "nth", "d.rule_id", "d.line", "d.end_col")
+    return found.select("doc_id", "nth", "d.rule_id", "d.line", F.coalesce("d.end_col", F.lit(0)).alias("end_col"))
 
 
 _CHANGES = "('modified', '1', 'Paragraph'), ('removed', '2', 'ThematicBreak'), ('added', '2', 'List'), ('added', '3', 'Paragraph')"
