@@ -12,6 +12,10 @@ the columns of ``documents``.
 * Mixture takes documents at the calibrated rate of their cell; the cells of the
   highest rates, a hundredth of the tokens at most, are taken whole and set no scale.
 * Packing returns the pieces of sequences (see ``quillspark.llm.packing``).
+
+In all stages null and empty texts are texts without words, ties go to the smaller
+``doc_id``, equal rows share their fate, an empty table gives no rows, and columns
+beyond those of ``documents`` pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from quillspark.llm.mixing import mix
 from quillspark.llm.packing import pack
 from quillspark.llm.quality import score_quality
 from quillspark.llm.setjoin import jaccard_classes
-from quillspark.runtime import stash, table
+from quillspark.runtime import discard, stash, table
 
 #: share of the tokens whose cells do not set the scale of the mixture
 SPARE = 0.01
@@ -68,7 +72,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stash(docs, f"stage{k}")
+            discard(before)
     return docs
