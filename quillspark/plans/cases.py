@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.kernel.model import Options
-from quillspark.runtime import ship, table
+from quillspark.runtime import ship, spread, table
 
 NL = "chr(10)"
 #: marks that are taken out of prose (a SQL string literal)
@@ -38,7 +38,7 @@ class Case:
     def query(self, spark, sf_dir: str) -> DataFrame:
         """(id, out) of every row of the table."""
         ship(spark)
-        rows = table(spark, sf_dir, self.table).select(F.expr(self.key).alias("id"), F.expr(self.source).alias("source"))
+        rows = spread(table(spark, sf_dir, self.table).select(F.expr(self.key).alias("id"), F.expr(self.source).alias("source")))
         return rows.select("id", self.make(F.col("source")).alias(self.out))
 
     def oracle(self) -> str:

@@ -243,7 +243,7 @@ def frontmatter(spark, sf_dir):
     """Metadata and body."""
     source = F.expr("'---' || chr(10) || 'title: \"' || p_name || '\"' || chr(10) || 'weight: ' || cast(p_size as string) || chr(10) || '---' || chr(10) || chr(10) || p_brand || chr(10)")
     meta, body = S.parse_frontmatter(F.col("source"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("source")).select("doc_id", meta.alias("meta"), body.alias("body"))
+    rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("source"))).select("doc_id", meta.alias("meta"), body.alias("body"))
     return rows.select("doc_id", F.get_json_object("meta", "$.title").alias("title"), F.get_json_object("meta", "$.weight").cast("double").alias("weight"), "body")
 
 
@@ -263,7 +263,7 @@ def notebook(spark, sf_dir):
         F.lit('","outputs":[{"output_type":"stream","text":["<'), F.col("user_id").cast("string"), F.lit('>"]}]}]}'),
     )
     source, meta = S.parse_notebook(F.col("nb"))
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), text.alias("nb"))
+    rows = spread(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), text.alias("nb")))
     return rows.select("doc_id", source.alias("source"), meta["title"].alias("title"), meta["cell_count"].alias("cells"))
 
 

@@ -76,11 +76,13 @@ def _yaml():
         except ImportError as e:
             raise ImportError("frontmatter needs PyYAML on the executors") from e
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # the same results, several times faster
+
         def one(text):
             if text is None:
                 return None
             try:
-                got = yaml.safe_load(text)
+                got = yaml.load(text, loader)
             except yaml.YAMLError:
                 return "{}"
             if not isinstance(got, dict):

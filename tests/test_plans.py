@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.operators import trees
-from quillspark.plans.queries import QUERIES
 from quillspark.runtime import ship, table
 
 
@@ -39,5 +38,6 @@ def test_one_parse_for_many_uses(spark, sf):
 
 
 def test_rendering_is_one_pass(spark, sf):
-    got = plan(QUERIES["parse_atx"](spark, sf))
+    ship(spark)
+    got = plan(table(spark, sf, "documents").select("doc_id", C.md_html("text")))
     assert "Exchange" not in got and len(re.findall(r"\) ArrowEvalPython", got)) == 1
