@@ -93,6 +93,15 @@ class DirectiveHandler:
     preserves_raw_content: bool = False
 
 
+@dataclass(frozen=True)
+class RoleHandler:
+    """A role of one's own: ``parse(node)`` gives the node that takes its place, ``render(renderer, node)`` its HTML."""
+
+    names: tuple[str, ...]
+    parse: Callable[[Node], Node] | None = None
+    render: Role | None = None
+
+
 def raw_content(source: str, node: Node) -> str:
     """A directive's body as it stands in the source, without option lines and closing marks."""
     lines = source.split("\n")[node.line : node.last_line]
@@ -114,6 +123,7 @@ class Handlers:
     highlight: Callable[[str, str], str] | None = None
     text: Callable[[str], str] | None = None
     custom: tuple[DirectiveHandler, ...] = ()
+    custom_roles: tuple[RoleHandler, ...] = ()
     strict: bool = False
 
     @property
@@ -129,12 +139,15 @@ class Handlers:
         """The tree of a source: lines changed before they are read, directives built by their handlers."""
         tree = parse(source, options, self.text)
         by_name = {n: h for h in self.custom for n in h.names}
+        roles = {n: h.parse for h in self.custom_roles if h.parse for n in h.names}
         if self.strict:
             self._check(tree)
-        if not by_name:
+        if not by_name and not roles:
             return tree
 
         def build(node: Node) -> Node:
+            if node.type == "Role" and node.data["name"] in roles:
+                return roles[node.data["name"]](node)
             handler = by_name.get(node.data["name"]) if node.type == "Directive" else None
             if handler is None:
                 return node
@@ -161,8 +174,8 @@ class Handlers:
 
     def render(self, tree: Node, options: Options = DEFAULT) -> str:
         """The HTML of a tree."""
-        own = {n: h.render for h in self.custom if h.render for n in h.names}
-        return render.HtmlRenderer(options, dict(self.directives.handlers) | own, dict(self.roles.handlers), self.icons, self.highlight).render(tree)
+        own, roles = ({n: h.render for h in hs if h.render for n in h.names} for hs in (self.custom, self.custom_roles))
+        return render.HtmlRenderer(options, dict(self.directives.handlers) | own, dict(self.roles.handlers) | roles, self.icons, self.highlight).render(tree)
 
     def tree(self, source: str | None, options: Options) -> Node | None:
         """The tree of a source; None where it has none or breaks a limit or contract."""

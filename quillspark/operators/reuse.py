@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import DEFAULT, hash_content, md_parse
@@ -15,7 +15,7 @@ def config_key(options: Options, handlers: Handlers | None = None) -> str:
     """A text that is equal for parses that give equal trees; empty if nothing can tell, as with a function that changes lines."""
     if handlers is None:
         return options.key()
-    return "" if handlers.text or any(h.parse or h.options for h in handlers.custom) else f"{options.key()}|{handlers.strict}|{','.join(handlers.names)}"
+    return "" if handlers.text or any(h.parse or h.options for h in handlers.custom) or any(h.parse for h in handlers.custom_roles) else f"{options.key()}|{handlers.strict}|{','.join(handlers.names)}"
 
 
 def with_hashes(docs: DataFrame, options: Options = DEFAULT, source: str = "source", handlers: Handlers | None = None) -> DataFrame:
@@ -46,6 +46,27 @@ def parse_many(docs: DataFrame, options: Options = DEFAULT, cache: DataFrame | N
     return keyed.join(stash(done, "parses"), ["content_hash", "config_hash"])
 
 
+class StoredCache:
+    """Parses in a folder of Parquet files, for later runs; ``parse_many`` takes ``table()`` and ``add`` keeps what it made."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def table(self) -> DataFrame | None:
+        """(content_hash, config_hash, ast) of all parses; None before the first."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return self.spark.read.parquet(self.path) if there else None
+
+    def add(self, parsed: DataFrame) -> None:
+        """Keep the parses of these rows that the folder lacks; rows that must not be shared are passed over."""
+        new = parsed.where("config_hash != ''").groupBy("content_hash", "config_hash").agg(F.first("ast").alias("ast"))
+        known = self.table()
+        if known is not None:
+            new = new.join(known.select("content_hash", "config_hash"), ["content_hash", "config_hash"], "left_anti")
+        new.write.mode("append").parquet(self.path)
+
+
 def profile(docs: DataFrame, source: str = "source", ast: str = "ast") -> DataFrame:
     """One row of totals: parse calls, characters, top-level blocks, nodes."""
     top = F.size(F.filter(ast, lambda n: n["depth"] == 1))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
-from quillspark.functions.handlers import DEFAULT_ROLES, DirectiveHandler, Handlers, directive, md_html_with, registry_of, transform_nodes, visit_nodes
+from quillspark.functions.handlers import DEFAULT_ROLES, DirectiveHandler, Handlers, RoleHandler, directive, md_html_with, registry_of, transform_nodes, visit_nodes
+from quillspark.functions.options import OPTIONS
 from quillspark.kernel.model import Node, Options, Visitor
 from quillspark.kernel.render import plain_text
 from quillspark.operators import reuse, trees
@@ -452,3 +453,27 @@ def code_lengths(spark, sf_dir):
     docs = _docs(spark, sf_dir, "part", "p_partkey", "'```' || chr(10) || p_name || chr(10) || '```' || chr(10) || chr(10) || '    ' || p_brand")
     node = lambda kind: F.element_at(trees.nodes_of_type(F.col("ast"), kind), 1)
     return docs.select(F.col("doc_id").alias("id"), C.code_length(node("FencedCode")).alias("fence"), C.code_length(node("IndentedCode")).alias("indented"))
+
+
+@query("select p_partkey as id, p_name as name, p_size % 2 = 0 as selected, case when p_size % 3 = 0 then 0 else p_size end as start, p_brand as caption from part")
+def option_specs(spark, sf_dir):
+    """Typed options of tab items and code blocks."""
+    flag = F.expr("if(p_size % 2 = 0, 'Yes', 'no')")
+    tab = OPTIONS["tab-item"].column(F.create_map(F.lit("selected"), flag, F.lit("name"), F.col("p_name")))
+    code = OPTIONS["code-block"].column(F.create_map(F.lit("lineno_start"), F.expr("if(p_size % 3 = 0, 'null', cast(p_size as string))"), F.lit("caption"), F.col("p_brand")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tab.alias("t"), code.alias("c"))
+    return rows.select("id", "t.name", "t.selected", F.coalesce("c.lineno_start", F.lit(0)).alias("start"), "c.caption")
+
+
+@query(f"select p_partkey as id, '<p><abbr title=\"' || p_brand || '\">' || p_name || '</abbr></p>' || {NL} as html from part")
+def role_parsed(spark, sf_dir):
+    """A role whose own parser splits its content."""
+
+    def parse(node: Node) -> Node:
+        node.data["content"], _, rest = node.data["content"].partition(" (")
+        node.data["target"] = rest.rstrip(")")
+        return node
+
+    role = RoleHandler(("long",), parse, lambda r, node: f'<abbr title="{node.data["target"]}">{node.data["content"]}</abbr>')
+    source = F.expr("'{long}`' || p_name || ' (' || p_brand || ')`'")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), md_html_with(source, Handlers(custom_roles=(role,))).alias("html"))

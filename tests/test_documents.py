@@ -272,6 +272,92 @@ def test_edits_go_through_the_kept_tree():
     assert incremental._edited(1, source, version, old, options)[:2] == (source, version)
 
 
+def test_options_read_as_the_column_does(spark):
+    from quillspark.functions.options import OPTIONS, OptionSpec
+
+    spec = OptionSpec({"a": (int, 3), "b": (bool, True), "c": (list, ("x",)), "d": (float, None), "e": (str, "z")})
+    raws = [{}, {"a": "4", "b": "YES", "c": " p  q ", "d": "1.5", "e": ""}, {"a": "None", "b": "null", "c": "NULL", "d": "none", "e": "none"}, {"b": "", "x": "y"}, {"b": "off"}]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw map<string,string>")
+    for (_, raw), row in zip(enumerate(raws), df.select(spec.column(F.col("raw")).alias("o")).collect()):
+        want = spec.read(raw)
+        want["c"] = want["c"] and list(want["c"])
+        assert row["o"].asDict() == want
+    with pytest.raises(ValueError, match="'a'"):
+        spec.read({"a": "four"})
+    assert OPTIONS["figure"].read({"width": "3em"})["width"] == "3em" and OPTIONS["admonition"].read({})["open"] is True
+
+
+def test_highlighter_with_languages():
+    from quillspark.kernel.render import highlight
+
+    class Shouts:
+        def supports_language(self, language):
+            return language != "c"
+
+        def highlight(self, code, language):
+            if language == "bad":
+                raise RuntimeError
+            return f"<pre>{code.upper()}</pre>"
+
+    assert highlight("a<b", "py", Shouts()) == "<pre>A<B</pre>"
+    assert highlight("a<b", "c", Shouts()) == '<pre><code class="language-c">a&lt;b</code></pre>'
+    assert highlight("a", "bad", Shouts()) == '<pre><code class="language-bad">a</code></pre>' and highlight("a") == "<pre><code>a</code></pre>"
+
+
+def test_contracts_while_parsing(spark):
+    from quillspark.functions.handlers import DirectiveHandler, Handlers, md_parse_with
+    from quillspark.kernel.model import ContractError
+
+    strict = Handlers(strict=True, custom=(DirectiveHandler(("lid",), contract=trees.Contract(requires_parent=("jar",))),))
+    with pytest.raises(ContractError, match="line 2"):
+        strict.parse("a\n:::{lid}\n:::")
+    df = spark.createDataFrame([(":::{lid}\n:::",), ("::::{jar}\n:::{lid}\n:::\n::::",)], "s string")
+    assert [r[0] is None for r in one(df, md_parse_with("s", strict))] == [True, False]
+
+
+def test_raw_content_of_directives():
+    from quillspark.functions.handlers import DirectiveHandler, Handlers
+
+    seen = []
+    handlers = Handlers(custom=(DirectiveHandler(("x",), lambda node, raw: seen.append(raw) or node, preserves_raw_content=True),))
+    tree = handlers.parse("::::{x} T\n:k: v\n\n- a\n  b\n:::{y}\nz\n:::\n::::\nafter")
+    assert seen == ["\n- a\n  b\n:::{y}\nz\n:::"] and tree.children[0].data["raw"] == seen[0]
+    handlers.parse(":::{x}\nno end")
+    assert seen[-1] == "no end"
+
+
+def test_cache_keys_tell_handlers_apart(docs):
+    from quillspark.functions.handlers import DirectiveHandler, Handlers
+
+    plain, own = Handlers(), Handlers(custom=(DirectiveHandler(("x",), render=lambda r, n, b: b),))
+    keys = {reuse.config_key(Options(), h) for h in (None, plain, own, Handlers(strict=True))}
+    assert len(keys) == 4 and reuse.config_key(Options(), Handlers(text=str.upper)) == ""
+    df = reuse.parse_many(docs("a", "a").drop("ast"), handlers=Handlers(text=str.upper))
+    assert one(df, "config_hash", C.extract_text("ast")) == [("", "A"), ("", "A")]
+
+
+def test_stored_cache(spark, docs, tmp_path):
+    cache = reuse.StoredCache(spark, str(tmp_path / "parses"))
+    assert cache.table() is None
+    for sources, size in ((("a", "b", "a"), 2), (("b", "c"), 3)):
+        cache.add(reuse.parse_many(docs(*sources).drop("ast"), cache=cache.table()))
+        assert cache.table().count() == size
+
+
+def test_transform_may_not_remove_the_root():
+    tree = parse("a *b*", Options())
+    assert [n.type for n in tree.transform(lambda n: None if n.type == "Emphasis" else n).walk()] == ["Document", "Paragraph", "Text"]
+    assert len(list(tree.walk())) == 5
+    with pytest.raises(TypeError):
+        tree.transform(lambda n: None)
+
+
+def test_span_and_code_length(docs):
+    df = docs("a\n\n```\nxy\n```\n")
+    first, last = (F.element_at(F.filter("ast", lambda n: n["type"] == k), 1) for k in ("Paragraph", "FencedCode"))
+    assert one(df, C.span(first, last)["offset"], C.span(first, last)["end_lineno"], C.code_length(last)) == [(0, 5, 3)]
+
+
 def test_native_scalars_equal_the_kernel(spark):
     from quillspark.kernel.render import cut_at_word, slugify
 
