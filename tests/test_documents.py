@@ -358,6 +358,28 @@ def test_span_and_code_length(docs):
     assert one(df, C.span(first, last)["offset"], C.span(first, last)["end_lineno"], C.code_length(last)) == [(0, 5, 3)]
 
 
+def test_incremental_column_equals_full_parses(spark):
+    """Random edits of random documents: whole rows, moved ids, paths and places included."""
+    import random
+
+    from quillspark.streaming.incremental import parse_incremental
+
+    ship(spark)
+    rnd, rows = random.Random(9), []
+    bits = ("one two\n\n", "# h *e*\n", "- a\n- b\n\n", "> q\n\n", "```\ncode\n```\n\n", "---\n\n", "x é😀 `c`\n\n", "1. i\n\n   p\n\n")
+    for k in range(150):
+        old = "".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 14)))
+        a = rnd.randrange(len(old) + 1)
+        b = min(len(old), a + rnd.randrange(5))
+        add = rnd.choice(("", "z", "\n\n", "# n\n", "- l\n", "para\n\npara\n\n", "[r]: /u\n"))
+        rows.append((k, old, old[:a] + add + old[b:], a, b, len(add)))
+    rows += [(200, None, "a", 0, 0, 1), (201, "a", None, 0, 0, 1), (202, "a", "ab", 7, 9, 1)]
+    df = spark.createDataFrame(rows, "k int, old string, new string, a int, b int, n int").withColumn("previous", C.md_parse("old"))
+    got = df.select("k", parse_incremental("new", "previous", "a", "b", "n").alias("got"), C.md_parse("new").alias("want"))
+    for r in got.collect():
+        assert r["got"] == r["want"], r["k"]
+
+
 def test_native_scalars_equal_the_kernel(spark):
     from quillspark.kernel.render import cut_at_word, slugify
 
