@@ -113,7 +113,8 @@ def limit_depth(max_depth: int = 10) -> Policy:
 
 llm_safe = strip_html | allow_url_schemes() | normalize_unicode
 web_safe = llm_safe
-strict = llm_safe | strip_images | strip_raw_code
+# what drops comes first, in one pass: neither rewrite changes what it looks at
+strict = (strip_html | allow_url_schemes() | strip_raw_code) | normalize_unicode | strip_images
 
 
 # -- lint -----------------------------------------------------------------
@@ -203,6 +204,8 @@ class LintRules:
         return LintRules(**self.rules, **{rule_id: replace(rule, rule_id=rule_id)})
 
 
+#: the columns of nodes that the default rules read; ``md_nodes`` with these is enough for them
+LINT_COLUMNS = ("id", "last", "type", "level", "text", "url", "lineno", "col", "offset", "end_offset", "end_lineno")
 DEFAULT_RULES = LintRules(**{r.rule_id: r for r in (heading_increment, no_empty_link, trailing_whitespace)})
 
 

@@ -40,9 +40,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _docs(spark, sf_dir, name: str, key: str, source: str, options: Options = C.DEFAULT) -> DataFrame:
+def _docs(spark, sf_dir, name: str, key: str, source: str, options: Options = C.DEFAULT, columns: tuple[str, ...] = ()) -> DataFrame:
     rows = spread(table(spark, sf_dir, name).select(F.expr(key).alias("doc_id"), F.expr(source).alias("source")))
-    return rows.withColumn("ast", C.md_parse("source", options))
+    return rows.withColumn("ast", C.md_nodes("source", *columns, options=options) if columns else C.md_parse("source", options))
 
 
 _LIST = f"string_agg('- ' || cast(o_orderkey as varchar), {NL} order by o_orderkey)"
@@ -144,28 +144,28 @@ def sanitize_limit_depth(spark, sf_dir):
 @query("select p_partkey as doc_id, 'heading-increment' as rule_id, 'warning' as severity, 2 as line, 'Heading level skipped: expected h2 or lower after h1, found h' || (p_size % 6 + 1) as message from part where p_size % 6 + 1 > 2")
 def lint_heading_increment(spark, sf_dir):
     """Skipped heading levels."""
-    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a' || chr(10) || repeat('#', p_size % 6 + 1) || ' b'")
+    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a' || chr(10) || repeat('#', p_size % 6 + 1) || ' b'", columns=trees.LINT_COLUMNS)
     return trees.heading_increment(docs).select("doc_id", "rule_id", "severity", "line", "message")
 
 
 @query("select p_partkey as doc_id, 'no-empty-link' as rule_id, 1 as line, 'Link has no visible text (url: ''/' || p_size || ''')' as message from part")
 def lint_empty_link(spark, sf_dir):
     """Links without text."""
-    docs = _docs(spark, sf_dir, "part", "p_partkey", "'[](/' || cast(p_size as string) || ') [x](/y) [![i](j)](/z)'")
+    docs = _docs(spark, sf_dir, "part", "p_partkey", "'[](/' || cast(p_size as string) || ') [x](/y) [![i](j)](/z)'", columns=trees.LINT_COLUMNS)
     return trees.no_empty_link(docs).select("doc_id", "rule_id", "line", "message")
 
 
 @query("select p_partkey as doc_id, line, col, case line when 1 then 'Trailing whitespace (2 character(s))' else 'Trailing whitespace (1 character(s))' end as message, offs as \"offset\" from part, lateral (select 1 as line, length(p_name) + 1 as col, length(p_name) as offs union all select 6, 2, length(p_name) + 3 + 4 + 3 + 4 + 1 + 1) t")
 def lint_trailing_whitespace(spark, sf_dir):
     """Blanks at line ends outside code."""
-    docs = _docs(spark, sf_dir, "part", "p_partkey", "p_name || '  ' || chr(10) || '```' || chr(10) || 'a ' || chr(10) || '```' || chr(10) || chr(10) || 'b ' || chr(10)")
+    docs = _docs(spark, sf_dir, "part", "p_partkey", "p_name || '  ' || chr(10) || '```' || chr(10) || 'a ' || chr(10) || '```' || chr(10) || chr(10) || 'b ' || chr(10)", columns=trees.LINT_COLUMNS)
     return trees.trailing_whitespace(docs).select("doc_id", "line", "col", "message", "offset")
 
 
 @query("select p_partkey as doc_id, rule_id, line from part, (values ('heading-increment', 2), ('no-empty-link', 4), ('trailing-whitespace', 1)) t(rule_id, line)")
 def lint_all(spark, sf_dir):
     """All default rules."""
-    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a ' || chr(10) || '### b' || chr(10) || chr(10) || '[](x)'")
+    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a ' || chr(10) || '### b' || chr(10) || chr(10) || '[](x)'", columns=trees.LINT_COLUMNS)
     return trees.lint(docs).select("doc_id", "rule_id", "line")
 
 
@@ -177,7 +177,7 @@ _BREAKS = f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), {NL
 def lint_documents(spark, sf_dir):
     """Every document as a code block whose lines end in blanks, between two lines that do."""
     source = f"'a ' || {NL} || '```' || {NL} || {_BLANKS} || {NL} || '```' || {NL} || 'b '"
-    return trees.lint(_docs(spark, sf_dir, "documents", "doc_id", source)).select("doc_id", "line")
+    return trees.lint(_docs(spark, sf_dir, "documents", "doc_id", source, columns=trees.LINT_COLUMNS)).select("doc_id", "line")
 
 
 @query(f"with s as (select doc_id, unnest(string_split({_BLANKS}, {NL})) as x from documents) select doc_id, count(*)::bigint as n from s where regexp_matches(x, '[ \\t]$') group by doc_id")
@@ -190,7 +190,7 @@ def lint_lines(spark, sf_dir):
 @query("select p_partkey as doc_id, nth, rule_id, line, end_col from part, (values (0, 'trailing-whitespace', 1, 5), (1, 'heading-increment', 2, 0), (2, 'no-empty-link', 4, 0), (3, 'no-empty-link', 4, 0), (4, 'trailing-whitespace', 4, 14)) t(nth, rule_id, line, end_col)")
 def lint_sorted(spark, sf_dir):
     """Diagnostics of a document in the order of their places."""
-    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a ' || chr(10) || '### b' || chr(10) || chr(10) || '[](x) [](y)  '")
+    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a ' || chr(10) || '### b' || chr(10) || chr(10) || '[](x) [](y)  '", columns=trees.LINT_COLUMNS)
     found = docs.select("doc_id", F.posexplode(trees.diagnostics(F.col("source"), F.col("ast"))).alias("nth", "d"))
     return found.select("doc_id", "nth", "d.rule_id", "d.line", F.coalesce("d.end_col", F.lit(0)).alias("end_col"))
 
@@ -356,7 +356,7 @@ def sql_functions(spark, sf_dir):
 @query("select p_partkey as doc_id, 'a.md:2:1: [heading-increment] Heading level skipped: expected h2 or lower after h1, found h3' as text, 2 as lsp from part")
 def diagnostic_text(spark, sf_dir):
     """Diagnostics as lines and editor severities."""
-    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a' || chr(10) || '### b'")
+    docs = _docs(spark, sf_dir, "part", "p_partkey", "'# a' || chr(10) || '### b'", columns=trees.LINT_COLUMNS)
     return trees.lint(docs).select("doc_id", trees.diagnostic_text("a.md").alias("text"), trees.severity_lsp(F.col("severity")).alias("lsp"))
 
 
