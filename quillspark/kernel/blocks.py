@@ -164,12 +164,11 @@ class BlockParser:
             up = self.stack[-1].node
             up.last_line = max(up.last_line, node.last_line)
 
-    @staticmethod
-    def _is_loose(lst: Node) -> bool:
+    def _is_loose(self, lst: Node) -> bool:
         def gaps(nodes):
             return any(b.line - a.last_line > 1 for a, b in zip(nodes, nodes[1:]))
 
-        return gaps(lst.children) or any(gaps(item.children) for item in lst.children)
+        return gaps(lst.children) or any(id(item) in self.apart or gaps(item.children) for item in lst.children)
 
     def _close_paragraph(self, top: _Open) -> None:
         text = "\n".join(top.lines)
@@ -188,7 +187,10 @@ class BlockParser:
             if gone:
                 node = top.node
                 if not text.strip():
-                    self.stack[-1].node.children.remove(node)
+                    above = self.stack[-1].node.children
+                    if len(above) > 1 and node.line - above[-2].last_line > 1:  # a blank line parts them though nothing is left
+                        self.apart.add(id(self.stack[-1].node))
+                    above.remove(node)
                     self.stack[-1].node.last_line = max(self.stack[-1].node.last_line, node.last_line)
                     return
                 node.line += gone
@@ -202,6 +204,7 @@ class BlockParser:
         doc = Node("Document", end=len(source))
         self.stack: list[_Open] = [_Open(doc)]
         self.offset, self.lineno, self.below_blank = 0, 0, True
+        self.apart: set[int] = set()  # list items with a blank line above definitions
         lines = source.split("\n")
         if lines and not lines[-1]:
             lines.pop()
@@ -231,6 +234,7 @@ class BlockParser:
                     return k
                 self._to_next()
                 self._skip_marker(1)
+                node.last_line = self.lineno
             elif kind == "ListItem":
                 if self.blank:
                     if not node.children:
