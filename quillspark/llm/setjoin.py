@@ -55,6 +55,8 @@ FREQUENT = 1 << 18
 #: a filter that is too small lets more texts pass to the join that follows, and loses none)
 FILTER_LEAST, FILTER_MOST = 1 << 20, 1 << 28
 BLOCK = 512
+#: a set that more than one row in so many holds is named by a broadcast
+SHARE = 1024
 #: sizes of a class span this factor, a little more than linked sets may differ by
 CLASS = 1.2501
 COMBINE = 3
@@ -461,14 +463,20 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
         units.repartition(parts_of, "unit", "a", "b").sortWithinPartitions("unit", "a", "b", "sig").mapInArrow(_verify, "u bigint, v bigint")
     )
     found = components(links, "links")
-    least = nodes.where("n > 0").groupBy("sig").agg(F.min("id").alias("low"))
+    least = nodes.where("n > 0").groupBy("sig").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
     least = least.join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    low = least.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = least.join(low, "component").select("sig", "component_id")
-    return nodes.join(named, "sig", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-    )
+    # written first: so the join is one of two plain shuffles, of which Spark can split a large class
+    low = stash(least.groupBy("component").agg(F.min("low").alias("component_id")), "lows")
+    named = stash(least.join(low, "component").select("sig", "rows", "component_id"), "named")
+    # sets of more than a SHARE-th of all rows: fewer than SHARE of them, so their rows need not meet in one task
+    hot = named.where(F.col("rows") * SHARE > F.lit(nodes.count())).select("sig", "component_id")
+    some = nodes.where("n > 0")
+    by_name = lambda df, component: df.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return (
+        by_name(nodes.where("n = 0"), F.col("id"))
+        .unionByName(by_name(some.join(F.broadcast(hot), "sig"), F.col("component_id")))
+        .unionByName(by_name(some.join(F.broadcast(hot), "sig", "left_anti").join(named.select("sig", "component_id"), "sig"), F.col("component_id")))
+    )
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
