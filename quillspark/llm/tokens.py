@@ -37,6 +37,7 @@ class WordEncoder:
         self.tok.encode_special_tokens = special_as_text
         special = [] if special_as_text else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.hint = os.path.commonprefix(special)  # a plain search for it comes first
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -56,11 +57,13 @@ class WordEncoder:
             known[p] = raw[a:b]
             a = b
 
-    def _pieces(self, texts: list[str]) -> list[list[str]]:
-        split, parts, chunks = [], set(), set()
-        for t in texts:
-            if self.special and self.special.search(t):
-                split.append([t])
+    def _pieces(self, texts: list[str]) -> tuple[list[list[str]], dict[int, bytes]]:
+        """The known pieces of each text, and the ids of texts that went to the library whole."""
+        split, parts, chunks, whole = [], set(), set(), {}
+        for k, t in enumerate(texts):
+            if self.special and self.hint in t and self.special.search(t):
+                split.append([])
+                whole[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
             elif _PLAIN.fullmatch(t):
                 split.append(p := _PARTS.findall(t.lower()))
                 parts.update(p)
@@ -74,17 +77,13 @@ class WordEncoder:
         if new := [c for c in chunks if c not in self.known]:
             for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
                 self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return split
+        return split, whole
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, end id included."""
         gc.disable()  # a batch makes many small objects and no cycles
         try:
-            pieces, whole = self._pieces(texts), {}
-            for k, (t, p) in enumerate(zip(texts, pieces)):
-                if self.special and p == [t] and self.special.search(t):
-                    pieces[k] = [""]
-                    whole[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            pieces, whole = self._pieces(texts)
             get, end = self.known.__getitem__, np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
             return [whole.get(k, b"") + b"".join(map(get, ws)) + end for k, ws in enumerate(pieces)]
         finally:
