@@ -6,7 +6,8 @@ ending there, that stands in some template (the matching statistic). Runs of
 ``MIN_RUN`` words or more chain along one template: each next run starts within
 ``GAP`` words of the file and later in the template. A chain that covers
 ``MIN_COVER`` of its template, or ``LONG_COVER`` words of a long one, is a span
-with the template's label.
+with the template's label, if at least one of its runs stands in no template of
+another label: what licences share, such as their disclaimers, names none of them.
 
 Base phrases are counted at all their places by an exact look at the words that
 end one; a file that has one scores 1.
@@ -34,7 +35,19 @@ MIN_COVER, LONG_COVER = 0.6, 24
 #: phrases whose places are counted, and their labels (fixed values)
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: licence notices (fixed values)
+# passages that several licences share (fixed values)
+_AS_IS = (
+    " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+    "particular purpose and noninfringement in no event shall the authors {0}be liable for any claim damages or other liability whether in an action of contract "
+    "tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_GNU = (
+    "this {0} is free software you can redistribute it and or modify it under the terms of the gnu {1}general public license as published by the free software "
+    "foundation either version {2} of the license or at your option any later version this {0} is distributed in the hope that it will be useful but without any "
+    "warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {1}general public license for more details you "
+    "should have received a copy of the gnu {1}general public license along with this {0}"
+)
+#: texts and notices of licences, as words (fixed values)
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
@@ -43,36 +56,75 @@ TEMPLATES = (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
         "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
         "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject "
-        "to the following conditions",
+        "to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the software" + _AS_IS.format("or copyright holders "),
     ),
     ("apache", "licensed under the apache license version 2 0"),
     (
         "apache",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
-        "you may obtain a copy of the license at http www apache org licenses license 2 0",
+        "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in "
+        "writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license",
     ),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
-    (
-        "gpl",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
-        "published by the free software foundation either version 3 of the license or at your option any later version",
-    ),
+    ("gpl", _GNU.format("program", "", "3")),
+    ("gpl", _GNU.format("program", "", "2")),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", _GNU.format("library", "lesser ", "2 1")),
     ("agpl", "licensed under the gnu affero general public license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("agpl", _GNU.format("program", "affero ", "3")),
+    (
+        "mpl",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with "
+        "this file you can obtain one at http mozilla org mpl 2 0",
+    ),
     (
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
         "conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the "
-        "following disclaimer",
+        "following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright "
+        "holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific "
+        "prior written permission this software is provided by the copyright holders and contributors as is and any express or implied "
+        "warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are "
+        "disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or "
+        "consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or "
+        "business interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+        "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+        "the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims "
+        "all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the "
+        "author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data "
+        "or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+        "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+        "applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not "
+        "be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment "
+        "in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and "
+        "must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution",
     ),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any "
+        "means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest "
+        "in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our "
+        "heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights "
+        "to this software under copyright law" + _AS_IS.format(""),
+    ),
 )
 
 # bytes that are no word characters become blanks
@@ -154,6 +206,8 @@ class LicenceScanner:
         for k, (_, words) in enumerate(self.templates):
             self.automaton.add(k, [self.vocab[w] for w in words])
         self.automaton.close()
+        #: by state: whether all templates that have its words are of one label
+        self.own = [len({self.templates[t][0] for t, _ in e}) == 1 for e in self.automaton.ends]
 
     def runs(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """Maximal runs (end, words, state) of ``MIN_RUN`` words or more, in order."""
@@ -190,24 +244,25 @@ class LicenceScanner:
         found = []
 
         def close(t: int) -> None:
-            start, end, _, covered = chains.pop(t)
+            start, end, _, covered, own = chains.pop(t)
             size = len(self.templates[t][1])
-            if covered >= MIN_COVER * size or covered >= LONG_COVER:
+            if own and (covered >= MIN_COVER * size or covered >= LONG_COVER):
                 found.append((t, start, end, min(1.0, covered / size)))
 
         for end, run, state in self.runs(words):
+            own = self.own[state]
             for t, place in self.automaton.ends[state]:
                 chain = chains.get(t)
                 if chain and end - run - chain[1] <= GAP and place > chain[2]:
                     fresh = min(run, end - chain[1], place - chain[2])
                     if fresh > 0:
-                        chain[1], chain[2], chain[3] = end, place, chain[3] + fresh
+                        chain[1], chain[2], chain[3], chain[4] = end, place, chain[3] + fresh, chain[4] or own
                         continue
                 if chain:
                     if chain[1] >= end:  # an earlier place of the same words
                         continue
                     close(t)
-                chains[t] = [end - run, end, place, run]
+                chains[t] = [end - run, end, place, run, own]
         for t in list(chains):
             close(t)
         return sorted(found, key=lambda s: (s[1], s[2], s[0]))

@@ -28,6 +28,23 @@ def test_pipeline_on_awkward_and_empty_tables(spark, awkward, nothing):
     assert corpus_pipeline.run(spark, awkward).count() > 0
 
 
+def test_pipeline_stages_defined(spark, awkward):
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    unique = stages["n-gram jaccard join"](spark, docs, awkward).collect()
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in unique) == [-1, -1, 0, 1, 2, 3, 5, 5, 5, 6, 8, 10, 11, 12]
+    for name in ("quality classifier", "mixing to target weights"):  # equal rows share their fate
+        kept = [tuple(r) for r in stages[name](spark, docs, awkward).collect()]
+        everything = [tuple(r) for r in docs.collect()]
+        assert set(kept) <= set(everything) and all(kept.count(r) == everything.count(r) for r in kept)
+    scored = {r["text"] for r in stages["quality classifier"](spark, docs, awkward).collect()}
+    assert {None, ""} <= scored or not {None, ""} & scored  # texts without words alike
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    from quillspark.llm.quality import score_quality
+
+    assert score_quality(docs, none).where("quality_keep").count() == docs.count()
+
+
 def by_id(rows, key="doc_id"):
     return {r[key]: r for r in rows if r[key] is not None}
 

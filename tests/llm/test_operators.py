@@ -773,21 +773,22 @@ def test_licence_spans_by_brute_force(docs):
         open_, out = {}, []
 
         def close(t):
-            a, e, _, covered = open_.pop(t)
-            if covered >= MIN_COVER * len(texts[t]) or covered >= LONG_COVER:
+            a, e, _, covered, own = open_.pop(t)
+            if own and (covered >= MIN_COVER * len(texts[t]) or covered >= LONG_COVER):
                 out.append((t, a, e, min(1.0, covered / len(texts[t]))))
 
         for e, n in runs:
+            mine = len({TEMPLATES[t][0] for t, _ in places[tuple(words[e - n : e])]}) == 1
             for t, place in sorted(places[tuple(words[e - n : e])]):
                 c = open_.get(t)
                 if c and e - n - c[1] <= GAP and place > c[2] and min(n, e - c[1], place - c[2]) > 0:
-                    open_[t] = (c[0], e, place, c[3] + min(n, e - c[1], place - c[2]))
+                    open_[t] = (c[0], e, place, c[3] + min(n, e - c[1], place - c[2]), c[4] or mine)
                     continue
                 if c and c[1] >= e:
                     continue
                 if c:
                     close(t)
-                open_[t] = (e - n, e, place, n)
+                open_[t] = (e - n, e, place, n, mine)
         for t in list(open_):
             close(t)
         return sorted(out, key=lambda s: (s[1], s[2], s[0]))
@@ -808,6 +809,22 @@ def test_licence_spans_by_brute_force(docs):
             assert label in {scanner.templates[t][0] for t, *_ in scanner.spans(words)}
 
 
+def test_shared_disclaimers_name_no_licence():
+    from quillspark.llm.licenses import TEMPLATES, default_scanner, words_of
+
+    scanner = default_scanner()
+    labels = lambda words: sorted({scanner.templates[t][0] for t, *_ in scanner.spans(words)})
+    for label, text in TEMPLATES:
+        assert label in labels(words_of(text)) and (len(text.split()) < 30 or labels(words_of(text)) == [label])
+    mit, unlicense = (next(t for x, t in TEMPLATES if x == k and len(t.split()) > 100) for k in ("mit", "unlicense"))
+    shared = mit[mit.index("the software is provided") : mit.index(" or copyright holders be")]
+    assert shared in unlicense and labels(words_of("some words " + shared)) == []
+    rnd = random.Random(1)
+    for k, (label, text) in enumerate(t for t in TEMPLATES if len(t[1].split()) > 60):  # a word in twelve is another
+        noisy = [w if rnd.randrange(12) else "zz" for w in text.split()]
+        assert label in labels(words_of(" ".join(noisy))), (k, label)
+
+
 def test_raking_reports_the_error_that_is_left(spark):
     from quillspark.llm.mixing import rake
 
