@@ -243,10 +243,10 @@ def build(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     rows = stash(clean(vectors, key, vector).where("id is not null"), "vectors")
     n = rows.count()
     sample = sample or min(SAMPLE_MOST, max(SAMPLE, n // FIT_SHARE))
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    if not got:
+    if not n:
         return None
-    router = fit_router(np.array([r["v"] for r in got]), parts or max(PARTS, -(-n // SLAB)))
+    got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+    router = fit_router(_matrix(got.column(0).combine_chunks()), parts or max(PARTS, -(-n // SLAB)))
     parts = len(router.d)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
