@@ -31,14 +31,14 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     known = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stash(_toward_min(both).select("u", F.least("u", "m").alias("m")), label)
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lowest = stash(_toward_min(both).select("u", F.least("u", "m").alias("m")), label)
+        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         low = _toward_min(large)
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         before, edges = edges, stash(small.where("u != v").distinct(), label)
         discard(before)
-        discard(low)
+        discard(lowest)
         row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == known:
             break
