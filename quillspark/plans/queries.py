@@ -318,10 +318,11 @@ def html_of_documents(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", C.md_html("text", Options.of("all")).alias("html"))
 
 
-@query()
+@query(f"select page_id, rtrim(replace(html, {NL}, ' '), {NL}) || {NL} as html from pages")
 def html_of_pages(spark, sf_dir):
-    """Raw pages as HTML blocks."""
-    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", C.md_html("html").alias("html"))
+    """Raw pages, each on one line, as HTML blocks."""
+    rows = spread(table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("\n"), F.lit(" ")).alias("html")))
+    return rows.select("page_id", C.md_html("html").alias("html"))
 
 
 @query()
