@@ -425,6 +425,34 @@ def test_repeated_rows_of_a_label_are_one_training_row(spark):
     assert 0 in ids and len(x) == len(y) == len(ids) and y.sum() == sum(i % 2 for i in ids)
 
 
+def test_fit_in_blocks_uses_every_row(spark, monkeypatch):
+    """Many blocks: scales, threshold and slope are those of all rows, weights those of all blocks' pairs; a rare label meets every block."""
+    from quillspark.llm import quality
+
+    monkeypatch.setattr(quality, "BLOCK", 100)
+    monkeypatch.setattr(quality, "SCORES", 50)
+    monkeypatch.setattr(quality, "RARE", 16)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 26))
+    x[1000:1300] = x[:300]  # equal scores, of both labels
+    y = (x[:, 0] - 2 * x[:, 1] + rng.normal(size=1500) > 3).astype(float)
+    assert 50 < y.sum() < 240
+    rows = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id bigint, x array<double>, y double").repartition(5)
+    w, scale, cut, slope = quality.fit_all(rows)
+    assert np.allclose(scale, x.std(0))
+    one, *_ = quality.fit(x, y)
+    assert np.corrcoef(w, one)[0, 1] > 0.99
+    s = (x * (w / scale)).sum(1)
+    o = np.lexsort((y, s))
+    so, yo = s[o], y[o]
+    hit = np.cumsum(yo == 0) / (yo == 0).sum() - np.cumsum(yo == 1) / (yo == 1).sum()
+    best = np.flatnonzero(hit >= hit.max() - 1e-12)
+    k = best[len(best) // 2]
+    assert cut == pytest.approx((so[k] + so[k + 1]) / 2, abs=1e-12) and slope == pytest.approx(2 / np.median(np.abs(s - cut)))
+    more = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip([*x, x[0] * 9], [*y, 0.0]))], "id bigint, x array<double>, y double")
+    assert not np.allclose(quality.fit_all(more)[0], w)  # no row is left out
+
+
 def test_bradley_terry_orders_pairs():
     from quillspark.llm.quality import fit
 
