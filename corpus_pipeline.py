@@ -36,8 +36,10 @@ SPARE = 0.01
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")  # whatever other columns are called
-    return score_quality(rows, table(spark, sf_dir, "labels")).where("quality_keep").select("row.*")
+    # whatever other columns are called; each text goes to the workers once
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
+    kept = score_quality(rows, table(spark, sf_dir, "labels")).where("quality_keep")
+    return kept.select(*["text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,8 @@ BLOCK, RARE = 4096, 256
 #: opponents drawn for each row of the larger label of a block; the bound is beyond any block's pairs
 OPPONENTS = 32
 MAX_PAIRS = 200_000
+#: pairs whose differences are held at once, and texts that are read from a batch at once
+PART, TEXTS = 8192, 256
 #: bits of the labelled ids' bitmap, as a power of two
 BITS = 24
 #: ids that a task remembers at most
@@ -88,18 +90,34 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def _duels(x: np.ndarray, y: np.ndarray, scale: np.ndarray, seed: int) -> np.ndarray:
-    """Differences of the drawn pairs of a block."""
+def _features(texts: pa.Array) -> np.ndarray:
+    """``features`` of a column, a row each; few of its texts are held as Python strings at a time."""
+    out = np.zeros((len(texts), _KINDS + 14))
+    for at in range(0, len(texts), TEXTS):
+        for k, t in enumerate(texts.slice(at, TEXTS).to_pylist(), at):
+            out[k] = features(t)
+    return out
+
+
+def _duels(x: np.ndarray, y: np.ndarray, scale: np.ndarray, seed: int) -> Iterator[np.ndarray]:
+    """Differences of the drawn pairs of a block, ``PART`` at a time."""
     good, bad = x[y == 1], x[y == 0]
     rng = np.random.default_rng(seed)
     pairs = min(MAX_PAIRS, OPPONENTS * max(len(good), len(bad)))
-    return (good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)]) / scale
+    a, b = rng.integers(len(good), size=pairs), rng.integers(len(bad), size=pairs)
+    for k in range(0, pairs, PART):
+        yield (good[a[k : k + PART]] - bad[b[k : k + PART]]) / scale
 
 
-def _slope(diff: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _slope(parts: Iterator[np.ndarray], w: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Sums of the logistic loss's gradient and curvature over pairs, and how many there are."""
-    p = 1 / (1 + np.exp(np.clip(diff @ w, -40, 40)))
-    return -(diff * p[:, None]).sum(0), (diff * (p * (1 - p))[:, None]).T @ diff, len(diff)
+    grad, hess, n = np.zeros(len(w)), np.zeros((len(w), len(w))), 0
+    for diff in parts:
+        p = 1 / (1 + np.exp(np.clip(diff @ w, -40, 40)))
+        grad -= (diff * p[:, None]).sum(0)
+        hess += (diff * (p * (1 - p))[:, None]).T @ diff
+        n += len(diff)
+    return grad, hess, n
 
 
 def _newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, int]], size: int, ridge: float, steps: int) -> np.ndarray:
@@ -117,8 +135,7 @@ def _newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, int]], si
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, ridge: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Weights, scales, threshold and slope of a Bradley-Terry fit of ``x`` by labels ``y``, as one block."""
     scale = np.maximum(x.std(0), 1e-9)
-    diff = _duels(x, y, scale, seed)
-    w = _newton(lambda w: _slope(diff, w), x.shape[1], ridge, steps)
+    w = _newton(lambda w: _slope(_duels(x, y, scale, seed), w), x.shape[1], ridge, steps)
     s = x @ (w / scale)
     # the quantile of the scores that parts the labels best, classes weighing the same
     order = np.argsort(s, kind="stable")
@@ -147,6 +164,7 @@ def _marked(docs: DataFrame, labels: DataFrame, key: str, label: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Features; rows of an id that the task has met with a smaller text hash, or the same one, are passed over."""
+        release()
         best: dict = {}
         for b in batches:
             bits, hashes, keep = b.column(1).to_numpy(), b.column(2).to_numpy(), []
@@ -158,7 +176,8 @@ def _marked(docs: DataFrame, labels: DataFrame, key: str, label: str) -> DataFra
                     best[i] = h
                     keep.append(k)
             at = pa.array(keep, pa.int64())
-            x = pa.array([features(t).tolist() for t in b.column(3).take(at).to_pylist()], pa.list_(pa.float64()))
+            x = _features(b.column(3).take(at))
+            x = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), x], names=["id", "h", "x"])
 
     schema = T.StructType([rows.schema["id"], T.StructField("h", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
@@ -343,9 +362,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label
             if model is None:
                 score = np.ones(b.num_rows)
             else:
-                f = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(b.num_rows, _KINDS + 14)
                 # a sum per row, so that equal texts have equal scores wherever they stand
-                raw = (f * model[0]).sum(1)
+                raw = (_features(b.column(at)) * model[0]).sum(1)
                 score = 1 / (1 + np.exp(-np.clip((raw - model[1]) * model[2] + shift, -30, 30)))
             cols = [*b.columns, pa.array(score), pa.array(score >= THRESHOLD)]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "quality_score", "quality_keep"])

@@ -102,8 +102,12 @@ def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
 
 
 def release() -> None:
-    """Give the worker's cached words back; tasks of other operators that hold much call this."""
+    """Give the worker's cached words back; tasks of other operators that hold much call this first."""
+    import ctypes
+
     import pyarrow
 
     _ENCODERS.clear()
     pyarrow.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is freed below its heap's top
+        trim(0)

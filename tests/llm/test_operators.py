@@ -453,6 +453,31 @@ def test_fit_in_blocks_uses_every_row(spark, monkeypatch):
     assert not np.allclose(quality.fit_all(more)[0], w)  # no row is left out
 
 
+def test_quality_holds_little_in_a_worker(spark, monkeypatch):
+    """The first pass frees cached words, the pipeline sends a text once, and a block's pairs are never held together."""
+    import tracemalloc
+
+    from quillspark.llm import quality, tokens
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    passes, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: passes.append((self.columns, self.schema, f)) or plain(self, f, *a, **b))
+    quality._marked(docs, labels, "doc_id", "quality")
+    monkeypatch.setitem(tokens._ENCODERS, ("a vocabulary", False), object())
+    assert list(passes[0][2](iter([]))) == [] and not tokens._ENCODERS
+    corpus_pipeline.quality(spark, docs, DATA)
+    assert passes[-1][0] == ["row", "doc_id", "text"] and "text" not in passes[-1][1]["row"].dataType.names
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(quality.BLOCK, 26))
+    y = (x[:, 0] + rng.normal(size=len(x)) > 0).astype(float)
+    tracemalloc.start()
+    quality.fit(x, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 << 20
+
+
 def test_bradley_terry_orders_pairs():
     from quillspark.llm.quality import fit
 
